@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import packing, tokens
+from lodestone.llm import packing, pii, quality, tokens
 from lodestone.llm.common import documents
 
 QUERIES: dict = {}
@@ -29,3 +29,24 @@ def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens."""
     found = packing.pack(documents(spark, sf_dir))
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "class_size")
+
+
+@query
+def op1_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    spans = pii.find_spans(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii.BASE]
+    return spans.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+@query
+def op4_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learnt from labelled rows outside the held-out fifth."""
+    docs = documents(spark, sf_dir)
+    machine = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, machine).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
