@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import packing, pii, quality, tokens
+from lodestone.llm import packing, pii, quality, substring, tokens
 from lodestone.llm.common import documents
 
 QUERIES: dict = {}
@@ -50,3 +50,10 @@ def op4_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     machine = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, machine).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query
+def op2_level_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the passages of 50 words that an earlier document has."""
+    found = substring.remove_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
