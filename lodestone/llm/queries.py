@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import packing, pii, quality, substring, tokens
+from lodestone.llm import packing, pii, quality, simhash, substring, tokens
 from lodestone.llm.common import documents
 
 QUERIES: dict = {}
@@ -57,3 +57,10 @@ def op2_level_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the passages of 50 words that an earlier document has."""
     found = substring.remove_repeats(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op3_pigeonhole_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the groups that two bits or fewer connect."""
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
