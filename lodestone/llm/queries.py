@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import packing, pii, quality, simhash, substring, tokens
+from lodestone.llm import lmscore, packing, pii, quality, simhash, substring, tokens
 from lodestone.llm.common import documents
 
 QUERIES: dict = {}
@@ -64,3 +64,9 @@ def op3_pigeonhole_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the groups that two bits or fewer connect."""
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op10_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents by words and by all segmentations into subwords."""
+    return lmscore.log_likelihood(documents(spark, sf_dir))
