@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import lmscore, packing, pii, quality, simhash, substring, tokens
+from lodestone.llm import decontam, lmscore, packing, pii, quality, simhash, substring, tokens
 from lodestone.llm.common import documents
 
 QUERIES: dict = {}
@@ -70,3 +70,34 @@ def op3_pigeonhole_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of all documents by words and by all segmentations into subwords."""
     return lmscore.log_likelihood(documents(spark, sf_dir))
+
+
+@query
+def op9_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that lie in windows of benchmark items."""
+    found = decontam.phrase_matches(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    items = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"])))
+    out = found.select("doc_id", decontam.count_words(F.col("words")).alias("n_words"), decontam.covered(F.col("hits")).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"))
+    return out.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+_WORDS9 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLES["op9_positional_index"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS9} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS9} AS w FROM benchmark),
+win AS (
+  SELECT item_id, least(len(w), 10) AS k, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+),
+lens AS (SELECT DISTINCT k FROM win),
+spot AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, lens WHERE len(w) >= k),
+hit AS (
+  SELECT DISTINCT doc_id, i, spot.k, item_id
+  FROM (SELECT doc_id, i, k, array_to_string(w[i : i + k - 1], ' ') AS s FROM spot) AS spot JOIN win ON spot.s = win.s AND spot.k = win.k
+),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS listed FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
