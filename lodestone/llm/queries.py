@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontam, lmscore, packing, pii, quality, simhash, substring, tokens
+from lodestone.llm import decontam, lmscore, packing, pii, quality, rules, simhash, substring, tokens
 from lodestone.llm.common import documents
 
 QUERIES: dict = {}
@@ -101,3 +101,11 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
   sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+@query
+def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics and the verdict on all documents."""
+    found = rules.judge(documents(spark, sf_dir).select("doc_id", "text"), drop=("text",))
+    s, r = F.col("rules.s"), F.col("rules")
+    return found.select("doc_id", s["w"]["n_words"].alias("n_words"), s["w"]["word_chars"].alias("word_chars"), s["n_symbols"].alias("n_symbols"), s["l"]["n_dup_lines"].alias("n_dup_lines"), s["w"]["n_repeat_words"].alias("n_repeat_words"), r["base_failed"].alias("base_failed"), r["kept"].alias("kept"), r["posterior"].alias("posterior"))
