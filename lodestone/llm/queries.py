@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontam, lmscore, packing, pii, quality, rules, simhash, substring, tokens
+from lodestone.llm import decontam, lines, lmscore, packing, pii, quality, rules, simhash, substring, tokens
 from lodestone.llm.common import documents
 
 QUERIES: dict = {}
@@ -109,3 +109,13 @@ def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.judge(documents(spark, sf_dir).select("doc_id", "text"), drop=("text",))
     s, r = F.col("rules.s"), F.col("rules")
     return found.select("doc_id", s["w"]["n_words"].alias("n_words"), s["w"]["word_chars"].alias("word_chars"), s["n_symbols"].alias("n_symbols"), s["l"]["n_dup_lines"].alias("n_dup_lines"), s["w"]["n_repeat_words"].alias("n_repeat_words"), r["base_failed"].alias("base_failed"), r["kept"].alias("kept"), r["posterior"].alias("posterior"))
+
+
+@query
+def op5_segment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents that an earlier line equals or nearly equals."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = lines.by_document(docs)
+    out = docs.select("doc_id").join(found, "doc_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return out.select("doc_id", zero("n_lines"), zero("n_removed"), zero("n_near"), F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed"))

@@ -24,6 +24,8 @@ from lodestone.llm.common import materialise, pieces, scratch
 END_ID = 2
 #: Stands between words that are encoded together.
 MARK = "~"
+#: Marks that the tokenizer parts from the letters before them.
+TAIL = ".,;:!?|#$%&*"
 #: Distinct words that a worker remembers; beyond it the memory starts anew, results stay the same.
 REMEMBERED = 700_000
 
@@ -34,6 +36,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def gather(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices of ranges, one after the other."""
+    upto = np.cumsum(size)
+    return np.repeat(begin - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)
+
+
 class Encoder:
     """Ids of whole texts; remembers the ids of words."""
 
@@ -62,34 +70,46 @@ class Encoder:
         self.begin = np.zeros(1 << 14, np.int64)  # of word k; word k ends where word k + 1 begins
         self.used = 0
 
-    def _ids(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word. Words are joined with a mark that always is a token of its own; words that hold it are encoded singly."""
+    def _learn(self, words: list[str]) -> None:
+        """Learn words. Those that end in marks after a Latin letter are put together from the two parts."""
+        place, single, cut, parts = self.place, [], [], []
+        for w in words:
+            core = w.rstrip(TAIL)
+            if core and len(core) < len(w) and core[-1] < "\u0250" and core[-1].isalpha():
+                cut.append(w)
+                parts += (core.lower() if core.isascii() else core, w[len(core) :])
+            else:
+                single.append(w)
+        self._encode(single + [p for p in set(parts).difference(single) if p not in place])
+        if cut:
+            which = np.fromiter(map(place.__getitem__, parts), np.int64, len(parts))
+            begin = self.begin[which]
+            size = self.begin[which + 1] - begin
+            self._store(cut, self.flat[gather(begin, size)], size.reshape(-1, 2).sum(1))
+
+    def _encode(self, words: list[str]) -> None:
+        """Words are joined with a mark that always is a token of its own; words that hold it are encoded singly."""
         plain = [w for w in words if MARK not in w and "<|" not in w]
-        whole = self.tokenizer.encode_batch_fast([f" {MARK} ".join(plain)], add_special_tokens=False)[0].ids if plain else []
-        flat = np.array(whole, self.width)
-        found = dict(zip(plain, self._between(flat, len(plain))))
+        if plain:
+            flat = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(plain)], add_special_tokens=False)[0].ids, self.width)
+            cut = np.flatnonzero(flat == self.mark)
+            if len(cut) != len(plain) - 1:
+                raise ValueError("the mark is not a token of its own")
+            self._store(plain, np.delete(flat, cut), np.diff(cut, prepend=-1, append=len(flat)) - 1)
         for w in words:
-            if w not in found:
-                found[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.width)
-        return [found[w] for w in words]
-
-    def _between(self, flat: np.ndarray, count: int) -> list[np.ndarray]:
-        cut = np.flatnonzero(flat == self.mark)
-        if count and len(cut) != count - 1:
-            raise ValueError("the mark is not a token of its own")
-        return [flat[a:b] for a, b in zip([0, *(cut + 1).tolist()], [*cut.tolist(), len(flat)])]
+            if MARK in w or "<|" in w:
+                ids = self.tokenizer.encode(w, add_special_tokens=False).ids
+                self._store([w], np.array(ids, self.width), np.array([len(ids)]))
 
-    def _learn(self, words: list[str]) -> None:
-        ids = self._ids(words)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        total, known = int(sizes.sum()), len(self.place)
-        while self.used + total > len(self.flat):
+    def _store(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        known = len(self.place)
+        while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while known + len(words) + 1 > len(self.begin):
             self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-        self.flat[self.used : self.used + total] = np.concatenate(ids)
+        self.flat[self.used : self.used + len(flat)] = flat
         self.begin[known + 1 : known + 1 + len(words)] = self.used + np.cumsum(sizes)
-        self.used += total
+        self.used += len(flat)
         self.place.update(zip(words, range(known, known + len(words))))
 
     def encode(self, texts: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +132,7 @@ class Encoder:
         flat = np.full(bounds[-1], end_id, self.width)
         body = np.ones(len(flat), bool)
         body[bounds[1:] - 1] = False
-        flat[body] = self.flat[np.repeat(begin[which] - upto[:-1], sizes) + np.arange(upto[-1])]
+        flat[body] = self.flat[gather(begin[which], sizes)]
         return flat, bounds
 
 
