@@ -119,3 +119,11 @@ def op5_segment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = docs.select("doc_id").join(found, "doc_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return out.select("doc_id", zero("n_lines"), zero("n_removed"), zero("n_near"), F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py."""
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
