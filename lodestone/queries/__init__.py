@@ -20,4 +20,4 @@ def query(sql: str | None = None):
     return add
 
 
-from lodestone.queries import aggregation, joining, scanning, windowing  # noqa: E402,F401
+from lodestone.queries import aggregation, corpus, joining, scanning, searching, windowing  # noqa: E402,F401
