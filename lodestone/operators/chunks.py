@@ -41,7 +41,7 @@ def fingerprints(text: str, radius: int) -> np.ndarray:
     n, prime = len(codes), np.uint64(PRIME)
     size = np.minimum(np.arange(n + 1), radius).astype(np.uint64)
     value = (np.uint64(OFFSET) ^ size) * prime
-    for j in range(radius, 0, -1):
+    for j in range(min(radius, n), 0, -1):
         value[j:] = (value[j:] ^ codes[: n + 1 - j]) * prime
     return value
 
