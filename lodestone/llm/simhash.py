@@ -16,6 +16,8 @@ Links become components by alternating large-star and small-star rounds, each wr
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -94,10 +96,9 @@ def allocate(costs: list[list[float]], units: int) -> tuple[float, list[int]]:
 
 
 def flips(width: int, most: int) -> list[int]:
-    """Masks over a partition's own bits with up to `most` set."""
-    from itertools import combinations
-
-    return [sum(1 << b for b in c) for k in range(most + 1) for c in combinations(range(width), k)]
+    """Masks over a partition's own bits with up to `most` set, as signed longs."""
+    masks = [sum(1 << b for b in c) for k in range(most + 1) for c in combinations(range(width), k)]
+    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
 
 
 def packed(fp, bits: list[int]):
@@ -165,7 +166,7 @@ def _through_points(fps: DataFrame, distance: int) -> DataFrame:
     """Links of fingerprints by shared points at half the distance; exact for two bits or fewer."""
     if distance > 2:
         raise ValueError("crowded buckets are exact for two bits or fewer")
-    masks = [0, *((1 << b) - (1 << 64 if b == 63 else 0) for b in range(BITS if distance else 0))]
+    masks = flips(BITS, min(distance, 1))
     points = fps.select("fp", F.explode(F.transform(F.array(*(F.lit(m).cast("long") for m in masks)), lambda m: F.col("fp").bitwiseXOR(m))).alias("point"))
     if distance == 1:
         points = points.where("point = fp or point < fp")  # a point between is one of the two
