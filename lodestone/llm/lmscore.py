@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import crc_remainder, materialise, pieces, scratch
 
 #: Text bytes in a block; bounds what one task holds. A longer document is a block of its own.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 MARK = "▁"
 LOG10 = math.log(10)
 
@@ -115,8 +115,14 @@ def _gather_block(part: pa.RecordBatch, block: int, sp) -> pa.RecordBatch:
         real = code > 0
         doc, code, words = doc[real], code[real] - 1, words.slice(1)
     size = max(len(words), 1)
-    key, times = np.unique(doc * size + code, return_counts=True)
+    del split, coded, rank
+    doc *= size
+    doc += code
+    del code
+    key, times = np.unique(doc, return_counts=True)
+    del doc
     of, place = key // size, key % size
+    del key
     cut = np.searchsorted(of, np.arange(rows + 1))
     held = np.asarray(part.column("held_out"))
     steps = np.diff(place, prepend=0)
@@ -125,10 +131,12 @@ def _gather_block(part: pa.RecordBatch, block: int, sp) -> pa.RecordBatch:
     steps, small = steps.astype("<i4"), times.astype("<i4")
     counts = [pa.compress(steps[a:b].tobytes() + small[a:b].tobytes(), "zstd", asbytes=True) for a, b in zip(cut[:-1], cut[1:])]
     trained = np.bincount(place, times * ~held[of], len(words)).astype(np.int64)
-    ids = sp.encode(words.to_pylist(), num_threads=1)
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((i for x in ids for i in x), np.int64, sizes.sum())
-    used = np.bincount(flat, np.repeat(trained, sizes), sp.get_piece_size()).astype(np.int64)
+    used = np.zeros(sp.get_piece_size(), np.int64)
+    for at in range(0, len(words), 20_000):
+        ids = sp.encode(words.slice(at, 20_000).to_pylist(), num_threads=1)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter((i for x in ids for i in x), np.int64, sizes.sum())
+        used += np.bincount(flat, np.repeat(trained[at : at + 20_000], sizes), len(used)).astype(np.int64)
     pieces_used = np.flatnonzero(used)
     n = (rows, len(words), len(pieces_used))
     total = sum(n)
@@ -165,6 +173,7 @@ def gather(docs: DataFrame, path: str) -> DataFrame:
                 if size >= BLOCK_BYTES:
                     yield _gather_block(pa.Table.from_batches(held).combine_chunks().to_batches()[0], block, sp)
                     block, held, size = block + 1, [], 0
+                    pa.default_memory_pool().release_unused()
         if held:
             yield _gather_block(pa.Table.from_batches(held).combine_chunks().to_batches()[0], block, sp)
 
