@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +48,9 @@ def fingerprints(text: str, radius: int) -> np.ndarray:
 class _Limits:
     def __init__(self, text: str, target: int, most: int, most_bytes: int):
         self.n, self.target, self.most, self.most_bytes = len(text), target, most, most_bytes
-        self.bytes = [0]
-        for c in text:
-            self.bytes.append(self.bytes[-1] + len(c.encode("utf-8", "surrogatepass")))
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        sizes = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+        self.bytes = [0, *np.cumsum(sizes).tolist()]
 
     def reach(self, start: int) -> int:
         """The last place where a chunk from `start` may end."""
@@ -59,24 +58,31 @@ class _Limits:
         return min(start + self.most, self.n, max(start + 1, by_bytes))
 
 
-def _minima(places: list[int], total: int, span: int, scores: list[int]) -> set[int]:
-    """Cuts that have the least score of some window of `span` positions; places[i] is the position of cut i + 1."""
-    chosen: set[int] = set()
-    if span <= 0 or total <= span or not places:
-        return chosen
-    window: deque[int] = deque()
-    cut, last = 1, None
-    for at in range(1, total):
-        while cut <= len(places) and places[cut - 1] == at:
-            while window and scores[cut] <= scores[window[-1]]:
-                window.pop()
-            window.append(cut)
-            cut += 1
-        while window and places[window[0] - 1] <= at - span:
-            window.popleft()
-        if at >= span and window and scores[window[0]] != last:
-            last = scores[window[0]]
-            chosen.add(window[0])
+def _sliding_least(values: np.ndarray, span: int) -> np.ndarray:
+    """The least of each `span` neighbours, by doubling."""
+    out, width = values, 1
+    while width * 2 <= span:
+        out = np.minimum(out[:-width], out[width:])
+        width *= 2
+    return np.minimum(out[: len(values) - span + 1], out[span - width :]) if span > width else out
+
+
+def _minima(places: np.ndarray, total: int, span: int, scores: np.ndarray) -> set[int]:
+    """Cuts that have the least score of some window of `span` positions, the last of equals; cut i + 1 is at places[i].
+
+    A window whose least score is that of the window before adds nothing.
+    """
+    if span <= 0 or total <= span or not len(places):
+        return set()
+    grid, cut_at = np.full(total, np.iinfo(np.int64).max), np.zeros(total, np.int64)
+    grid[places], cut_at[places] = scores[1 : len(places) + 1], np.arange(1, len(places) + 1)
+    least = _sliding_least(grid[1:], span)
+    fresh = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    chosen = set()
+    for i in fresh.tolist():
+        window = grid[1 + i : 1 + i + span]
+        if least[i] < np.iinfo(np.int64).max:
+            chosen.add(int(cut_at[1 + i + np.flatnonzero(window == least[i])[-1]]))
     return chosen
 
 
@@ -100,9 +106,13 @@ def windows(text: str, target: int = TARGET, most: int = MOST, most_bytes: int =
     limits = _Limits(text, target, most, most_bytes)
     radius = min(RADIUS, max(1, min(target, most) // 4))
     rank = ranks(text)
-    scores = [(r << 64) | f for r, f in zip(rank.tolist(), fingerprints(text, radius).tolist())]
-    chosen = _minima(list(range(1, n)), n, max(1, most - radius), scores)
-    chosen |= _minima(limits.bytes[1:n], limits.bytes[n], most_bytes - radius * WIDEST, scores)
+    both = np.empty(n + 1, [("rank", "i8"), ("fingerprint", "u8")])
+    both["rank"], both["fingerprint"] = rank, fingerprints(text, radius)
+    order = np.lexsort((both["fingerprint"], both["rank"]))
+    scores = np.empty(n + 1, np.int64)
+    scores[order] = np.cumsum(np.append(False, both[order][1:] != both[order][:-1]))  # equal scores have equal numbers
+    chosen = _minima(np.arange(1, n), n, max(1, most - radius), scores)
+    chosen |= _minima(np.asarray(limits.bytes[1:n]), limits.bytes[n], most_bytes - radius * WIDEST, scores)
     first, natural = _first_cut(text, limits, rank)
     if first:
         limit = first - 1 if natural else limits.reach(first)
