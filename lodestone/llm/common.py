@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -44,6 +45,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(docs: DataFrame) -> DataFrame:
+    """`docs`, in a session whose Arrow batches hold BATCH_BYTES at most: texts are long, and both ends buffer whole batches."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", docs.sparkSession.conf.get(key))
+    if not now or int(now[1]) > BATCH_BYTES:
+        docs.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return docs
+
+
 def crc_remainder(divisor: int, doc_id: str = "doc_id"):
     """crc32 of doc_id as text, modulo divisor."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(divisor))

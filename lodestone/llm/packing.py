@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lodestone.llm.common import bounded
 from lodestone.llm.tokens import encoded, tokenizer_path
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, class_size long, ids binary"
@@ -100,4 +101,4 @@ def pack(docs: DataFrame, capacity: int = 4096, path: str | None = None) -> Data
         packer.finish()
         yield packer.batch()
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, SCHEMA)

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialise, pieces, scratch
+from lodestone.llm.common import bounded, materialise, mix, pieces, scratch, utf8, word_hashes
 
 #: Ends each document.
 END_ID = 2
@@ -27,7 +27,7 @@ MARK = "~"
 #: Marks that the tokenizer parts from the letters before them.
 TAIL = ".,;:!?|#$%&*"
 #: Distinct words that a worker remembers; beyond it the memory starts anew, results stay the same.
-REMEMBERED = 700_000
+REMEMBERED = 3_000_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -42,6 +42,60 @@ def gather(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)
 
 
+class Memory:
+    """What a worker knows of words: sorted 64-bit hashes, a second hash against chance, and where a word's ids stand.
+
+    New words go to a small table, which is merged into the large one when it has grown to an eighth of it. Some 30 bytes a word.
+    """
+
+    def __init__(self, width):
+        self.tables = [self._empty(), self._empty()]
+        self.flat, self.used = np.zeros(1 << 16, width), 0
+
+    @staticmethod
+    def _empty() -> tuple[np.ndarray, ...]:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def __len__(self) -> int:
+        return sum(len(t[0]) for t in self.tables)
+
+    def find(self, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(known, begin, size) for hashes in ascending order."""
+        known, begin, size = np.zeros(len(h), bool), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        for keys, others, begins, sizes in self.tables:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                same = (keys[at] == h) & (others[at] == g)
+                known |= same
+                begin[same], size[same] = begins[at[same]], sizes[at[same]]
+        return known, begin, size
+
+    def add(self, h: np.ndarray, g: np.ndarray, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Store words; returns where their ids begin."""
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        begin = self.used + np.cumsum(size) - size
+        self.used += len(flat)
+        self.tables[1] = self._merged(self.tables[1], (h, g, begin, size.astype(np.int32)))
+        if len(self.tables[1][0]) * 8 > len(self.tables[0][0]):
+            self.tables = [self._merged(*self.tables), self._empty()]
+        return begin
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+        return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b))
+
+
+def hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each string."""
+    data, offsets = utf8(words)
+    h = word_hashes(data, offsets[:-1], offsets[1:])
+    turned = data ^ np.uint8(0x5A)
+    return h, mix(word_hashes(turned, offsets[:-1], offsets[1:]) ^ np.uint64(0x9E3779B97F4A7C15))
+
+
 class Encoder:
     """Ids of whole texts; remembers the ids of words."""
 
@@ -53,9 +107,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.remembered = remembered
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self._forget()
+        self.remembered = remembered
+        self.memory = Memory(self.width)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -64,67 +118,82 @@ class Encoder:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
-    def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, self.width)
-        self.begin = np.zeros(1 << 14, np.int64)  # of word k; word k ends where word k + 1 begins
-        self.used = 0
-
-    def _learn(self, words: list[str]) -> None:
-        """Learn words. Those that end in marks after a Latin letter are put together from the two parts."""
-        place, single, cut, parts = self.place, [], [], []
-        for w in words:
-            core = w.rstrip(TAIL)
-            if core and len(core) < len(w) and core[-1] < "\u0250" and core[-1].isalpha():
-                cut.append(w)
-                parts += (core.lower() if core.isascii() else core, w[len(core) :])
-            else:
-                single.append(w)
-        self._encode(single + [p for p in set(parts).difference(single) if p not in place])
-        if cut:
-            which = np.fromiter(map(place.__getitem__, parts), np.int64, len(parts))
-            begin = self.begin[which]
-            size = self.begin[which + 1] - begin
-            self._store(cut, self.flat[gather(begin, size)], size.reshape(-1, 2).sum(1))
-
-    def _encode(self, words: list[str]) -> None:
-        """Words are joined with a mark that always is a token of its own; words that hold it are encoded singly."""
-        plain = [w for w in words if MARK not in w and "<|" not in w]
-        if plain:
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and sizes. Words are joined with a mark that always is a token of its own; words that hold it are encoded singly."""
+        flats, sizes = [np.zeros(0, self.width)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            odd = [i for i, w in enumerate(part) if MARK in w or "<|" in w]
+            plain = [part[i] for i in sorted(set(range(len(part))).difference(odd))] if odd else part
             flat = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(plain)], add_special_tokens=False)[0].ids, self.width)
             cut = np.flatnonzero(flat == self.mark)
-            if len(cut) != len(plain) - 1:
+            if len(plain) and len(cut) != len(plain) - 1:
                 raise ValueError("the mark is not a token of its own")
-            self._store(plain, np.delete(flat, cut), np.diff(cut, prepend=-1, append=len(flat)) - 1)
-        for w in words:
-            if MARK in w or "<|" in w:
-                ids = self.tokenizer.encode(w, add_special_tokens=False).ids
-                self._store([w], np.array(ids, self.width), np.array([len(ids)]))
-
-    def _store(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
-        known = len(self.place)
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while known + len(words) + 1 > len(self.begin):
-            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.begin[known + 1 : known + 1 + len(words)] = self.used + np.cumsum(sizes)
-        self.used += len(flat)
-        self.place.update(zip(words, range(known, known + len(words))))
+            size = np.diff(cut, prepend=-1, append=len(flat)) - 1 if len(plain) else np.zeros(0, np.int64)
+            flat = np.delete(flat, cut)
+            if odd:
+                alone = [np.array(self.tokenizer.encode(part[i], add_special_tokens=False).ids, self.width) for i in odd]
+                where = np.insert(np.arange(len(plain)), [i - n for n, i in enumerate(odd)], np.arange(len(plain), len(part)))
+                flat = np.concatenate([flat, *alone])
+                all_sizes = np.concatenate([size, [len(x) for x in alone]]).astype(np.int64)
+                flat, size = flat[gather((np.cumsum(all_sizes) - all_sizes)[where], all_sizes[where])], all_sizes[where]
+            flats.append(flat)
+            sizes.append(size)
+        return np.concatenate(flats), np.concatenate(sizes)
+
+    def _known(self, words: pa.Array, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, size) in the memory of distinct words, learnt where they are new.
+
+        New words that end in marks after a Latin letter are put together from the two parts, which are learnt first.
+        """
+        h, g = hashes(words)
+        order = np.argsort(h, kind="stable")
+        known, begin, size = self.memory.find(h[order], g[order])
+        if not known.all():
+            new = order[~known]
+            texts = words.take(pa.array(new)).to_pylist()
+            if whole:
+                begin[~known], size[~known] = self._parts(texts, h[new], g[new])
+            else:
+                flat, size[~known] = self._ids(texts)
+                begin[~known] = self.memory.add(h[new], g[new], flat, size[~known])
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return begin[back], size[back]
+
+    def _parts(self, texts: list[str], h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, size) of new words by way of their parts."""
+        first, last = [], []
+        for w in texts:
+            core = w.rstrip(TAIL)
+            if core and len(core) < len(w) and core[-1] < "\u0250" and core[-1].isalpha():
+                first.append(core.lower() if core.isascii() else core)
+                last.append(w[len(core) :])
+            else:
+                first.append(w)
+                last.append("")
+        coded = pa.array(first + last, pa.large_string()).dictionary_encode()
+        begin, size = self._known(coded.dictionary, whole=False)
+        code = np.asarray(coded.indices)
+        begin, size = begin[code].reshape(2, -1), size[code].reshape(2, -1)
+        out, total = begin[0], size.sum(0)
+        two = np.flatnonzero(size[1])
+        if len(two):
+            flat = self.memory.flat[gather(begin.T[two].ravel(), size.T[two].ravel())]
+            out[two] = self.memory.add(h[two], g[two], flat, total[two])
+        return out, total
 
     def encode(self, texts: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id last, and where each text begins (one more than texts)."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        texts = pc.fill_null(texts, "")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # else a special token could come about
+            texts = pc.ascii_lower(texts)
+        split = pc.ascii_split_whitespace(texts)
         first = np.asarray(split.offsets)
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.place) > self.remembered:
-            self._forget()
-        if new := [w for w in words if w not in self.place]:
-            self._learn(new)
-        code = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        begin = self.begin[:-1][code]
-        size = self.begin[1:][code] - begin
+        if len(self.memory) > self.remembered:
+            self.memory = Memory(self.width)
+        begin, size = self._known(coded.dictionary)
         which = np.asarray(coded.indices)
         sizes = size[which]
         upto = np.concatenate([[0], np.cumsum(sizes)])
@@ -132,7 +201,7 @@ class Encoder:
         flat = np.full(bounds[-1], end_id, self.width)
         body = np.ones(len(flat), bool)
         body[bounds[1:] - 1] = False
-        flat[body] = self.flat[gather(begin[which], sizes)]
+        flat[body] = self.memory.flat[gather(begin[which], sizes)]
         return flat, bounds
 
 
@@ -160,16 +229,17 @@ class WaveletMatrix:
         planes, zeros, ranks = [], [], []
         a = ids
         for level in range(bits - 1, -1, -1):
-            one = (a >> a.dtype.type(level)) & a.dtype.type(1) != 0
+            one = (a & a.dtype.type(1 << level)).astype(bool)
             packed = np.packbits(one, bitorder="little")
             short = -len(packed) % (cls.BLOCK // 8)
             packed = np.concatenate([packed, np.zeros(short, np.uint8)]) if short else packed
             ones = np.bitwise_count(packed.view(np.uint64)).reshape(-1, cls.BLOCK // 64).sum(1, dtype=np.uint32)
             ranks.append(np.concatenate([[0], np.cumsum(ones)]).astype(np.uint32))
             planes.append(packed)
-            zero = a[~one]
+            mask = pa.Array.from_buffers(pa.bool_(), len(a), [None, pa.py_buffer(packed)])
+            zero, rest = (pc.filter(pa.array(a), m).to_numpy() for m in (pc.invert(mask), mask))
             zeros.append(len(zero))
-            a = np.concatenate([zero, a[one]])
+            a = np.concatenate([zero, rest])
         return cls(len(ids), planes, zeros, ranks)
 
     def decode(self) -> np.ndarray:
@@ -179,8 +249,8 @@ class WaveletMatrix:
         for depth, (packed, zero) in enumerate(zip(self.planes[::-1], self.zeros[::-1])):
             one = np.unpackbits(packed, count=self.length, bitorder="little").view(bool)
             out = np.empty_like(a)
-            out[~one] = a[:zero]
-            out[one] = a[zero:] | kind(1 << depth)
+            np.place(out, ~one, a[:zero])
+            np.place(out, one, a[zero:] | kind(1 << depth))
             a = out
         return a
 
@@ -289,7 +359,7 @@ def write_shards(docs: DataFrame, out: str, path: str, shard_tokens: int = 2_000
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    ranged = bounded(docs).select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
 
     def write(batches):
         from pyspark import TaskContext
