@@ -17,9 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Rolling, materialise, pieces, signed, utf8, word_bounds, word_hashes
+from lodestone.llm.common import Rolling, bounded, materialise, pieces, signed, utf8, word_bounds, word_hashes
 
-SEED = "h long, ctx long, doc_id long, pos int, lo int, hi int"
+#: Ids that may be broadcast, some 10 MB; beyond it the texts are shuffled unfiltered.
+BROADCAST_IDS = 500_000
+#: pos and last are the first and the last place of a run of places with the same hashes, none further from the next than a half-length
+#: window, so that what they cover is one range; texts that repeat a few words have many such places.
+SEED = "h long, ctx long, doc_id long, pos int, last int, lo int, hi int"
 
 
 def _words(part: pa.RecordBatch) -> tuple[Rolling, np.ndarray, np.ndarray]:
@@ -51,7 +55,16 @@ def _seeds(part: pa.RecordBatch, words: int, half: int) -> pa.RecordBatch:
     end = np.minimum(stop[pos], pos + words)
     ids = part.column("doc_id").to_numpy(zero_copy_only=False)
     around = rolling.of(begin, end) + (pos - begin).astype(np.uint64)
-    return pa.RecordBatch.from_arrays([pa.array(signed(short[pos])), pa.array(signed(around)), pa.array(ids[doc[pos]]), pa.array((pos - first[:-1][doc[pos]]).astype(np.int32)), pa.array((pos - begin).astype(np.int32)), pa.array((end - pos).astype(np.int32))], names=["h", "ctx", "doc_id", "pos", "lo", "hi"])
+    h, of = short[pos], doc[pos]
+    order = np.lexsort((pos, around, h, of))
+    h, around, of, pos, begin, end = (x[order] for x in (h, around, of, pos, begin, end))
+    fresh = np.ones(len(pos), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (around[1:] != around[:-1]) | (of[1:] != of[:-1]) | (np.diff(pos) > half)
+    one = np.flatnonzero(fresh)
+    last = pos[np.append(one[1:], len(pos)) - 1] if len(one) else pos
+    base = first[:-1][of[one]]
+    ints = [(x - y).astype(np.int32) for x, y in ((pos[one], base), (last, base), (pos[one], begin[one]), (end[one], pos[one]))]
+    return pa.RecordBatch.from_arrays([pa.array(signed(h[one])), pa.array(signed(around[one])), pa.array(ids[of[one]]), *map(pa.array, ints)], names=["h", "ctx", "doc_id", "pos", "last", "lo", "hi"])
 
 
 def repeated_ranges(docs: DataFrame, words: int = 50) -> DataFrame:
@@ -60,7 +73,7 @@ def repeated_ranges(docs: DataFrame, words: int = 50) -> DataFrame:
     Ranges may overlap. Documents without any are missing. Rows without doc_id are left out; rows that share a doc_id count as one document.
     """
     half = (words + 1) // 2
-    texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
+    texts = bounded(docs).select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
 
     def seed(batches):
         for batch in batches:
@@ -71,11 +84,17 @@ def repeated_ranges(docs: DataFrame, words: int = 50) -> DataFrame:
     several = seeds.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1"))
     several = several.where("low < high").select("h", (F.col("c0") == F.col("c1")).alias("alike"))
     survivors = materialise(seeds.join(several, "h"), "survivors")
-    classes = survivors.groupBy("h", "ctx").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.first("alike").alias("alike"))
-    placed = survivors.select("h", "ctx", "doc_id", "pos", "lo", "hi").join(classes, ["h", "ctx"])
-    later = placed.where("doc_id > first.doc_id").select("doc_id", (F.col("pos") - F.col("lo")).alias("a"), (F.col("pos") + F.col("hi")).alias("b"))
-
-    heads = classes.where(~F.col("alike")).groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("h", "ctx", F.col("first.pos").alias("pos"))).alias("heads"))
+    classes = materialise(survivors.groupBy("h", "ctx").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.first("alike").alias("alike")), "classes")
+    is_later = F.col("doc_id") > F.col("first.doc_id")
+    placed = survivors.drop("alike").join(classes, ["h", "ctx"]).withColumn("later", is_later).where("later or not alike").drop("first", "alike")
+    placed = materialise(placed, "placed")
+    later = placed.where("later").select("doc_id", (F.col("pos") - F.col("lo")).alias("a"), (F.col("last") + F.col("hi")).alias("b"))
+
+    heads = classes.where("not alike").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("h", "ctx", F.col("first.pos").alias("pos"))).alias("heads"))
+    heads = materialise(heads, "heads")
+    headed = texts
+    if heads.count() <= BROADCAST_IDS:
+        headed = texts.join(F.broadcast(heads.select("doc_id")), "doc_id", "left_semi")  # fewer texts to shuffle
 
     def extend(batches):
         """Each full-length window around each head."""
@@ -94,11 +113,11 @@ def repeated_ranges(docs: DataFrame, words: int = 50) -> DataFrame:
                 take = pa.array(k)
                 yield pa.RecordBatch.from_arrays([flat.field("h").take(take), flat.field("ctx").take(take), part.column("doc_id").take(pa.array(doc[k])), pa.array((pos[k] - begin).astype(np.int32)), pa.array(signed(rolling.of(begin, begin + words)))], names=["h", "ctx", "doc_id", "back", "w"])
 
-    windows = materialise(texts.join(heads.hint("shuffle_hash"), "doc_id").mapInArrow(extend, "h long, ctx long, doc_id long, back int, w long"), "windows")
+    windows = materialise(headed.join(heads.hint("shuffle_hash"), "doc_id").mapInArrow(extend, "h long, ctx long, doc_id long, back int, w long"), "windows")
     known = windows.groupBy("h", "w").agg(F.min("doc_id").alias("low"))
     again = windows.join(known, ["h", "w"]).where("low < doc_id").groupBy("h", "ctx").agg(F.collect_list("back").alias("backs"))  # at most words - half + 1 for each class
-    heads_again = placed.where("doc_id = first.doc_id and not alike").join(again, ["h", "ctx"]).select("doc_id", F.explode("backs").alias("back"), "pos")
-    heads_again = heads_again.select("doc_id", (F.col("pos") - F.col("back")).alias("a"), (F.col("pos") - F.col("back") + words).alias("b"))
+    heads_again = placed.where("not later").join(again, ["h", "ctx"]).select("doc_id", F.explode("backs").alias("back"), "pos", "last")
+    heads_again = heads_again.select("doc_id", (F.col("pos") - F.col("back")).alias("a"), (F.col("last") - F.col("back") + words).alias("b"))
     return later.unionByName(heads_again).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
 
 
@@ -107,7 +126,7 @@ def remove_repeats(docs: DataFrame, words: int = 50) -> DataFrame:
 
     Null and empty texts have no words. A row without doc_id keeps all its words.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    texts = bounded(docs).select(F.col("doc_id").cast("long"), "text")
 
     def cut(batches):
         for batch in batches:
