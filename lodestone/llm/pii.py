@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import bounded
+
 #: Kinds in the order in which spans are listed; the first four are the base.
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "account", "secret", "login")
@@ -230,7 +232,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
                 spans = [[{"kind": k, "start": a, "end": b, "text": text[a:b]} for k, a, b in find(text)] if text else [] for text in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, shape)], names=["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, spans array<struct<kind:string,start:long,end:long,text:string>>")
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, spans array<struct<kind:string,start:long,end:long,text:string>>")
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:

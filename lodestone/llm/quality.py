@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import crc_remainder, mix, pieces, utf8, word_bounds, word_hashes
+from lodestone.llm.common import bounded, crc_remainder, mix, pieces, utf8, word_bounds, word_hashes
 
 BUCKETS = 1 << 16
 LEVELS = 16
@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> Machine
                 blobs = [pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(bounds * 4), pa.py_buffer(np.ascontiguousarray(x))]) for x in (feature.astype("<i4"), value.astype("<f4"))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), *blobs], names=["doc_id", "label", "feature", "value"])
 
-    found = docs.select("doc_id", "text", F.col("n_chars").cast("double")).join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, label int, feature binary, value binary")
+    found = bounded(docs).select("doc_id", "text", F.col("n_chars").cast("double")).join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, label int, feature binary, value binary")
     got = sorted(found.collect(), key=lambda x: (x.doc_id, x.feature, x.value))
     sizes = [len(x.feature) // 4 for x in got]
     feature = np.frombuffer(b"".join(x.feature for x in got), "<i4")
@@ -162,4 +162,4 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
                 z = own.logits(*features(part))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(1 / (1 + np.exp(-z)), pa.float64())], names=["doc_id", "held_out", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), (F.coalesce(crc_remainder(5), F.lit(1)) == 0).alias("held_out"), "text", F.col("n_chars").cast("double")).mapInArrow(run, "doc_id long, held_out boolean, score double")
+    return bounded(docs).select(F.col("doc_id").cast("long"), (F.coalesce(crc_remainder(5), F.lit(1)) == 0).alias("held_out"), "text", F.col("n_chars").cast("double")).mapInArrow(run, "doc_id long, held_out boolean, score double")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialise, pieces
+from lodestone.llm.common import bounded, materialise, pieces
 
 BITS = 64
 
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
                 found = np.array([fingerprint(t or b"", shingle) for t in part.column("text").cast(pa.binary()).to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def bit_counts(fps: DataFrame) -> tuple[np.ndarray, int]:
