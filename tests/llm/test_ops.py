@@ -390,3 +390,20 @@ def test_lattice_sums_all_segmentations():
     for word in ("the", "thing", "éau", "x", "\U0001f9ff", "a\U0001f9ffb", "restor"):
         assert lattice.log_prob(word) == pytest.approx(math.log(total(lmscore.MARK + word)))
     assert lattice.log_prob("x" * 5000) < lattice.log_prob("x" * 4000) < 0
+
+
+def test_only_empty_texts(spark):
+    """Null ids, null and empty texts alone, and repeated rows."""
+    held = spark.createDataFrame([(None, None, 0), (1, "", None), (1, "", None), (2, None, 3), (None, "a b", 3)], "doc_id long, text string, n_chars long")
+    bench = spark.createDataFrame([(1, "a b"), (2, "")], "item_id long, text string")
+    labels = spark.createDataFrame([(2, 1)], "doc_id long, quality int")
+    assert pii.find_spans(held).count() == 5
+    assert [r.n_removed for r in substring.remove_repeats(held).collect()] == [0] * 5
+    assert {r.component_id for r in simhash.near_duplicates(held).where("fp = 0").collect()} == {1}
+    assert quality.score(held, quality.train(held, labels)).where("score between 0 and 1").count() == 5
+    assert lines.remove_lines(held).count() == 5
+    assert tokens.token_files(held).count() == 5
+    assert packing.pack(held).where("length = 1").count() == 4
+    assert rules.judge(held).where("rules.base_failed").count() == 5
+    assert decontam.phrase_matches(held, bench).where("size(hits) > 0").count() == 1
+    assert lmscore.log_likelihood(held).where("n_tokens = 1").count() == 4
