@@ -200,6 +200,24 @@ def test_lines(spark, docs, rows, empty, crowded):
             assert kept[i] == (t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if not plain.get((i, n))))
 
 
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_banded_distance(spark, most):
+    import random
+
+    rng, pairs = random.Random(4), [("", ""), ("a", ""), ("", "abc")]
+    letters = "abé\U0001f600 "
+    for _ in range(1500):
+        a = [rng.choice(letters) for _ in range(rng.randint(1, 40))]
+        b = list(a)
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 1)] = [rng.choice(letters)] * rng.randint(0, 1)
+        pairs.append(("".join(a), "".join(b)))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = df.select(lines.banded_distance(F.col("a"), F.col("b"), most).alias("d"), F.least(F.levenshtein("a", "b"), F.lit(most + 1)).alias("e"))
+    assert got.where("d <> e").count() == 0 < got.where(f"d <= {most}").count()
+
+
 # 6, 7
 
 
