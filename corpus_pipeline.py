@@ -14,9 +14,20 @@ from lodestone.llm import decontam, lines, packing, rules, simhash
 from lodestone.llm.common import documents, materialise
 
 
+def _narrow(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the other columns in one struct, where no name can clash with an operator's own."""
+    others = [docs[c].alias(c) for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*others or [F.lit(0).alias("none")]).alias("_others"))
+
+
+def _wide(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of `docs` again."""
+    return found.select(*(F.col(c) if c in ("doc_id", "text") else F.col("_others")[c].alias(c) for c in docs.columns))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    return rules.judge(docs).where("rules.kept").select(*docs.columns)
+    return _wide(rules.judge(_narrow(docs)).where("rules.kept"), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +45,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of ten words with a benchmark item."""
-    found = decontam.phrase_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("hits") == 0).select(*docs.columns)
+    found = decontam.phrase_matches(_narrow(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _wide(found.where(F.size("hits") == 0), docs)
 
 
 def harmonic_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,7 +79,10 @@ def aligned(index: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFrame:
-    """All columns of `docs` with `words` (as in `raw_words`) and `hits`: an array of (a, b, item_id), words [a, b) of the document that equal a window."""
+    """All columns of `docs` with `words` (as in `raw_words`) and `hits`: an array of (a, b, item_id), words [a, b) of the document that equal a window.
+
+    Columns of `docs` by these names, or named candidates, give way.
+    """
     docs = docs.drop("words", "hits", "candidates")
     chosen, found = _candidates(docs, items, length)
     by_doc = found.groupBy("found_in").agg(F.collect_list(F.struct("item_id", "start", "win")).alias("candidates"))

@@ -7,7 +7,7 @@ A document is kept if its posterior chance of being good is at least the thresho
 Patterns are at most 3 to the number of rules, so their counts, and the fit on them, do not grow with the corpus. DataFrame and SQL functions only;
 the fit itself runs on the driver over those counts.
 
-Null and empty texts have no words and fail the base. All columns of the input stay; the verdict is one struct.
+Null and empty texts have no words and fail the base. All columns of the input stay, but for one named rules, which gives way to the verdict.
 """
 
 from __future__ import annotations
