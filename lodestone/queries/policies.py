@@ -103,7 +103,7 @@ SELECT key, near, distance FROM (SELECT key, near, levenshtein(key, near) AS dis
 def nearest_allowed_keys(spark, folder):
     key = lambda add: F.concat(F.lit("c:"), F.col("c_custkey") + add).alias("key")
     customers = table(spark, folder, "customer")
-    return E.nearest_keys(customers.where("c_custkey < 120").select(key(150)), customers.where("c_custkey < 200").select(key(0)))
+    return E.nearest_keys(customers.where("c_custkey < 120").select(key(150)), customers.where("c_custkey < 200").select(key(0))).withColumn("distance", F.col("distance").cast("long"))
 
 
 @query("""

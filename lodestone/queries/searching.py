@@ -86,7 +86,7 @@ def rank_fusion(spark, folder):
 @query(f"{_LANES} SELECT coalesce(a.k, b.k) AS k, coalesce(a.r, 0) AS rank_a, coalesce(b.r, 0) AS rank_b, coalesce(a.r - b.r, 0) AS moved FROM a FULL JOIN b ON a.k = b.k")
 def shadow_comparison(spark, folder):
     part = table(spark, folder, "part").withColumnRenamed("p_partkey", "k")
-    return fusion.compare_lanes(fusion.top(part, [F.desc("p_retailprice"), F.asc("k")], 50), fusion.top(part, [F.desc("p_size"), F.asc("k")], 50), "k").fillna(0)
+    return fusion.compare_lanes(fusion.top(part, [F.desc("p_retailprice"), F.asc("k")], 50), fusion.top(part, [F.desc("p_size"), F.asc("k")], 50), "k").fillna(0).select("k", *(F.col(c).cast("long").alias(c) for c in ("rank_a", "rank_b", "moved")))
 
 
 @query("""
