@@ -113,12 +113,15 @@ def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_segment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of all documents that an earlier line equals or nearly equals."""
+    """Lines of all documents that an earlier line equals or nearly equals; classes has line:doc_id:line of each and of the line that stands for it."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = lines.by_document(docs)
     out = docs.select("doc_id").join(found, "doc_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return out.select("doc_id", zero("n_lines"), zero("n_removed"), zero("n_near"), F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed"))
+    number = lambda r: r["no"].cast("string")
+    head = lambda r: F.concat_ws(":", number(r), r["head"]["doc_id"].cast("string"), r["head"]["no"].cast("string"))
+    listed = lambda f: F.concat_ws(",", F.transform("removed", f))
+    return out.select("doc_id", zero("n_lines"), zero("n_removed"), zero("n_near"), listed(number).alias("removed"), listed(head).alias("classes"))
 
 
 @query
@@ -127,3 +130,33 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
     return run(spark, sf_dir)
+
+
+ORACLES["op2_level_doubling"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT h, min(doc_id) AS low FROM p GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM p JOIN f USING (h) WHERE low < doc_id),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY k) AS s FROM word ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+#: Lines by what one character less leaves of them; a place is doc_id and line number in one number.
+ORACLES["op5_segment_join"] = """
+WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+l AS (SELECT doc_id, no, line, doc_id * 1000000 + no AS place FROM
+  (SELECT doc_id, unnest(range(len(parts))) AS no, trim(unnest(parts), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM s) WHERE line <> ''),
+f AS (SELECT line, min(place) AS first FROM l GROUP BY line),
+long AS (SELECT * FROM f WHERE length(line) >= 20),
+r AS (SELECT line, first, length(line) AS n, i, md5(substr(line, 1, i - 1) || substr(line, i + 1)) AS rest FROM (SELECT line, first, unnest(range(1, length(line) + 1)) AS i FROM long)),
+same AS (SELECT n, i, rest, min(first) AS head FROM r GROUP BY n, i, rest HAVING count(*) > 1),
+grown AS (SELECT DISTINCT r.line AS more, r.first AS a, c.line AS less, c.first AS b FROM r JOIN long AS c ON r.rest = md5(c.line)),
+late AS (SELECT line, head AS earlier FROM r JOIN same USING (n, i, rest) WHERE first > head UNION ALL SELECT more, b FROM grown WHERE a > b UNION ALL SELECT less, a FROM grown WHERE a < b),
+k AS (SELECT line, min(earlier) AS earlier FROM late GROUP BY line),
+x AS (SELECT doc_id, no, place <> first AS equal, earlier IS NOT NULL AS alike, least(first, coalesce(earlier, first)) AS head FROM l JOIN f USING (line) LEFT JOIN k USING (line)),
+g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE equal OR alike) AS n_removed, count(*) FILTER (WHERE alike AND NOT equal) AS n_near,
+  string_agg(no, ',' ORDER BY no) FILTER (WHERE equal OR alike) AS removed, string_agg(no || ':' || (head // 1000000) || ':' || (head % 1000000), ',' ORDER BY no) FILTER (WHERE equal OR alike) AS classes FROM x GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_near, 0) AS n_near, coalesce(removed, '') AS removed, coalesce(classes, '') AS classes
+FROM documents LEFT JOIN g USING (doc_id)
+"""

@@ -190,8 +190,9 @@ def test_lines(spark, docs, rows, empty, crowded):
     extra = [(5000 + i, "a long line with a letter " + c + " in it\n" + "x" * i) for i, c in enumerate("abcdefgh")] + [(6000, "a long line with a letter  in it")]
     more = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
     want = line_decisions(rows + extra)
-    got = {(r.doc_id, r.no): r.removed for r in lines.line_decisions(more, crowded=crowded).collect()}
-    assert got == want
+    found = lines.line_decisions(more, crowded=crowded).collect()
+    assert {(r.doc_id, r.no): r.removed for r in found} == want
+    assert all((tuple(r.head) < (r.doc_id, r.no)) == r.removed for r in found)
     if crowded == 128:
         assert lines.line_decisions(empty).count() == 0
         kept = {r.doc_id: r.text for r in lines.remove_lines(docs).collect()}
