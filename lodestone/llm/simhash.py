@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import bounded, materialise, pieces
 
 BITS = 64
+#: Links in a file of a round of `components`; rounds are many and links few, so small files would outnumber them.
+EDGES_IN_FILE = 200_000
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -179,13 +181,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for all nodes of `edges` (a, b); root is the smallest node reachable."""
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     for _ in range(rounds):
+        files = now.count() // EDGES_IN_FILE + 1
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         small_low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_low, "a")
         next_ = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        after = materialise(next_, "edges")
+        after = materialise(next_.coalesce(files), "edges")
         roots = after.select("b").distinct()
         deep = after.join(roots.withColumnRenamed("b", "a"), "a", "left_semi").limit(1).count()
         many = after.groupBy("a").count().where("count > 1").limit(1).count()
