@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bounded, crc_remainder, materialise, pieces, scratch
+from lodestone.llm.common import bounded, crc_remainder, materialise, pieces
 
 #: Text bytes in a block; bounds what one task holds. A longer document is a block of its own.
 BLOCK_BYTES = 8 << 20
@@ -178,9 +178,7 @@ def gather(docs: DataFrame, path: str) -> DataFrame:
             yield _gather_block(pa.Table.from_batches(held).combine_chunks().to_batches()[0], block, sp)
 
     rows = bounded(docs).select(F.col("doc_id").cast("long"), "text", F.coalesce(crc_remainder(7) == 2, F.lit(False)).alias("held_out")).mapInArrow(run, GATHERED)
-    out = scratch(docs.sparkSession, "gathered")
-    rows.write.partitionBy("kind").parquet(out)
-    return docs.sparkSession.read.schema(GATHERED).parquet(out)
+    return materialise(rows, "gathered")
 
 
 def piece_weights(gathered: DataFrame, path: str, documents: int) -> tuple[np.ndarray, float]:
