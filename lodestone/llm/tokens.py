@@ -27,7 +27,7 @@ MARK = "~"
 #: Marks that the tokenizer parts from the letters before them.
 TAIL = ".,;:!?|#$%&*"
 #: Distinct words that a worker remembers; beyond it the memory starts anew, results stay the same.
-REMEMBERED = 3_000_000
+REMEMBERED = 1_500_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -39,7 +39,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def gather(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Indices of ranges, one after the other."""
     upto = np.cumsum(size)
-    return np.repeat(begin - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)
+    total = int(upto[-1]) if len(upto) else 0
+    kind = np.int32 if total + int(begin.max(initial=0)) < 1 << 31 else np.int64
+    out = np.repeat((begin - (upto - size)).astype(kind), size)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 class Memory:
@@ -209,8 +213,9 @@ def encoded(batches, path: str):
     """(doc_ids, flat ids, bounds) for pieces of the batches (doc_id, text)."""
     encoder = Encoder.of(path)
     for batch in batches:
-        for part in pieces(batch, "text", 6 << 20):
+        for part in pieces(batch, "text", 3 << 20):
             yield part.column("doc_id").to_pylist(), *encoder.encode(part.column("text"))
+        pa.default_memory_pool().release_unused()
 
 
 class WaveletMatrix:
