@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontam, lines, packing, rules, simhash
+from lodestone.llm import decontam, jaccard, lines, packing, rules
 from lodestone.llm.common import documents, materialise
 
 
@@ -37,8 +37,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group that fingerprints of five-word shingles within two bits connect."""
-    found = simhash.near_duplicates(docs, shingle=5, distance=2)
+    """The first document of each group that pairs with four fifths of their five-word shingles in common connect."""
+    found = jaccard.near_duplicates(docs, shingle=5, percent=80)
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
     return docs.join(first.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(first["_first"]), "left_semi")
 
@@ -57,12 +57,12 @@ def harmonic_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 STAGES = [
     ("quality rules", quality_rules),
     ("line dedup", line_dedup),
-    ("SimHash near-dedup", near_dedup),
+    ("near-dedup", near_dedup),
     ("benchmark decontamination", decontamination),
     ("packing", harmonic_packing),
 ]
 
-#: The rules' fit, the fingerprints and the tokenizer are beyond SQL; tests hold the pipeline against a brute-force version.
+#: The rules' fit, the shingle hashes and the tokenizer are beyond SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -1,0 +1,154 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles, found by prefixes.
+
+If two sets are alike enough, their prefixes (n - ceil(n * percent / 100) + 1 shingles, 17 of 80 for 80 percent) in any order that all sets
+share have a shingle in common, so a join on prefix shingles loses no pair. The order is that of the hashes, with the shingles that are
+found `crowded` put last: only documents that have one in the prefix are read again. Candidates are distinct pairs of distinct sets; they
+are verified on their whole sets.
+
+A shingle that is still crowded belongs to documents that have little else, such as large groups of near copies. Its members are
+first held against one of them, which each shingle chooses by hash; those that this leaves outside the largest component of the
+shingle are held against all its members of other components. Pairs inside a component change nothing, so this is exact too.
+
+Sets are of 64-bit hashes; equal hashes count as equal shingles.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestone.llm.common import Rolling, bounded, materialise, pieces, signed, utf8, word_bounds, word_hashes
+from lodestone.llm.decontam import small
+from lodestone.llm.simhash import components
+
+#: Crowded shingles, or documents that have one, that go to all tasks.
+KNOWN = 1_000_000
+
+
+def shingle_sets(column: pa.Array, shingle: int):
+    """The ascending hashes of each text's distinct shingles; A-Z count as a-z, and a shorter text is one shingle."""
+    data, offsets = utf8(column)
+    data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    starts, ends, first = word_bounds(data, offsets)
+    words = Rolling(word_hashes(data, starts, ends))
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        at = np.arange(a, b - min(shingle, b - a) + 1) if b > a else np.zeros(0, np.int64)
+        yield np.unique(signed(words.of(at, at + min(shingle, b - a))))
+
+
+def _digest(hashes: np.ndarray) -> int:
+    """Names a set."""
+    return int(np.array([xxhash.xxh3_64_intdigest(hashes.tobytes())], np.uint64).view(np.int64)[0])
+
+
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])))
+
+
+def _prefix(hashes: np.ndarray, percent: int, last: np.ndarray) -> np.ndarray:
+    """The prefix of an ascending set, if the ascending `last` come after all others."""
+    if len(last):
+        held = last[np.minimum(np.searchsorted(last, hashes), len(last) - 1)] == hashes
+        hashes = np.concatenate([hashes[~held], hashes[held]])
+    return hashes[: len(hashes) and len(hashes) + 1 + (-len(hashes) * percent) // 100]
+
+
+def sets(docs: DataFrame, shingle: int, percent: int | None = None, last: np.ndarray = np.zeros(0, np.int64)) -> DataFrame:
+    """(doc_id, node, n, hashes) for each row: the set's name, its size, and its hashes or those of its prefix alone."""
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                found = list(shingle_sets(part.column("text"), shingle))
+                held = found if percent is None else [_prefix(x, percent, last) for x in found]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([_digest(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), _lists(held)], names=["doc_id", "node", "n", "hashes"])
+
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node long, n long, hashes array<long>")
+
+
+def _again(docs: DataFrame, held: DataFrame, nodes: DataFrame, name: str, *how) -> DataFrame:
+    """`sets` of the distinct `nodes`, from the texts of their first documents."""
+    ids = held.join(nodes, "node", "left_semi").select(F.col("first").alias("_id")).distinct()
+    read = sets(docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi"), *how)
+    return materialise(read.join(nodes, "node", "left_semi").dropDuplicates(["node"]).select("node", "n", "hashes"), name)
+
+
+def _crowded_last(docs: DataFrame, held: DataFrame, prefixes: DataFrame, shingle: int, percent: int, crowded: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, node, n) of prefixes that avoid crowded shingles where others are left, and (key, size) of the keys of two rows or more.
+
+    The crowded go to all tasks; beyond KNOWN of them no more are put last, which costs time but no pair.
+    """
+    known = np.zeros(0, np.int64)
+    for left in range(rounds, -1, -1):
+        rows = prefixes.select(F.explode("hashes").alias("key"), "node", "n")
+        sizes = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+        heavy = sizes.where(F.col("size") > crowded).select("key")
+        if not left or not 0 < heavy.count() <= KNOWN:
+            break
+        more = np.union1d(known, heavy.toArrow().column("key").to_numpy())
+        if len(more) == len(known) or len(more) > KNOWN:
+            break
+        known = more
+        again = materialise(rows.join(heavy, "key", "left_semi").select("node").distinct(), "again")
+        better = _again(docs, held, again, "prefixes", shingle, percent, known)
+        prefixes = prefixes.join(small(again, KNOWN), "node", "left_anti").select("node", "n", "hashes").union(better)
+    return rows, sizes
+
+
+def _sized(x, y, percent: int):
+    """Whether two sizes allow the similarity."""
+    return F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent
+
+
+def _ordered(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b, of pairs (x, y) of (node, n) that differ and whose sizes allow the similarity."""
+    x, y = F.col("x"), F.col("y")
+    return pairs.where((x["node"] != y["node"]) & _sized(x, y, percent)).select(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b")).distinct()
+
+
+def _verified(docs: DataFrame, held: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are alike."""
+    pairs = materialise(pairs, "pairs")
+    whole = _again(docs, held, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "sets", shingle)
+    both = pairs.join(whole.select(F.col("node").alias("a"), F.col("hashes").alias("u")), "a").join(whole.select(F.col("node").alias("b"), F.col("hashes").alias("v")), "b")
+    common = F.size(F.array_intersect("u", "v"))
+    return materialise(both.where(common * (100 + percent) >= (F.size("u") + F.size("v")) * percent).select("a", "b"), "links")
+
+
+def links(docs: DataFrame, held: DataFrame, prefixes: DataFrame, shingle: int = 5, percent: int = 80, crowded: int = 64, rounds: int = 2) -> DataFrame:
+    """(a, b): names of sets that are alike, enough of them to connect all that are; `held` has (node, first) of distinct sets, `prefixes` (node, n, hashes) of all rows."""
+    rows, sizes = _crowded_last(docs, held, prefixes, shingle, percent, crowded, rounds)
+    shared = materialise(rows.join(sizes, "key").select("key", F.struct("node", "n").alias("x"), "size"), "shared")
+    few = shared.where(F.col("size") <= crowded).groupBy("key").agg(F.collect_list("x").alias("held"))  # crowded at most
+    pairs = few.select(F.explode("held").alias("x"), "held").select("x", F.explode("held").alias("y")).where("x.node < y.node")
+    found = _verified(docs, held, _ordered(pairs, percent), shingle, percent)
+    many = shared.where(F.col("size") > crowded).select("key", "x").distinct()
+    if not many.limit(1).count():
+        return found
+    heads = many.groupBy("key").agg(F.min_by("x", F.xxhash64("key", "x.node")).alias("y"))
+    found = found.union(_verified(docs, held, _ordered(many.join(heads, "key"), percent), shingle, percent))
+    roots = components(found).withColumnRenamed("node", "at")
+    placed = materialise(many.join(roots, F.col("x.node") == F.col("at"), "left").select("key", "x", F.coalesce("root", "x.node").alias("root")), "placed")
+    largest = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("largest"))
+    outside = placed.join(largest, "key").where("root <> largest").select("key", F.col("x").alias("y"), F.col("root").alias("other"))
+    return found.union(_verified(docs, held, _ordered(outside.join(placed, "key").where("root <> other"), percent), shingle, percent))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, crowded: int = 64, rounds: int = 2) -> DataFrame:
+    """(doc_id, component_id) for each row of `docs` (doc_id, text): the smallest doc_id that pairs of `percent` or more connect.
+
+    Null and wordless texts are equal. Rows without doc_id stay, without component unless others share theirs. Repeated doc_ids are rows of
+    their own.
+    """
+    marked = materialise(sets(docs, shingle, percent), "prefixes")
+    held = materialise(marked.groupBy("node").agg(F.min("doc_id").alias("first")), "distinct")
+    edges = links(docs, held, marked.select("node", "n", "hashes"), shingle, percent, crowded, rounds)
+    firsts = held.select("node", "first")
+    by_doc = edges.join(firsts.select(F.col("node").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("node").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    roots = components(by_doc)
+    labelled = firsts.join(roots.withColumnRenamed("node", "first"), "first", "left").select("node", F.coalesce("root", "first").alias("component_id"))
+    return marked.select("doc_id", "node").join(labelled, "node").select("doc_id", "component_id")

@@ -1,0 +1,70 @@
+"""Near-duplicates by shingles against brute-force Jaccard."""
+
+import random
+
+import pytest
+from test_ops import fingerprint
+
+import corpus_pipeline
+from lodestone.llm import jaccard
+
+
+def shingles(t, k=5):
+    w = (t or "").encode().lower().split()
+    return {tuple(w[a : a + k]) for a in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def alike(a, b):
+    return a == b or 9 * len(a & b) >= 4 * (len(a) + len(b))
+
+
+def groups(rows):
+    held = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in held}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in held:
+        for b in held:
+            if a < b and alike(held[a], held[b]) and (x := find(a)) != (y := find(b)):
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in held}
+
+
+@pytest.fixture(scope="module")
+def edited():
+    """Copies of three texts with up to eight words changed, and texts that share a passage."""
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(5000)}"
+    out = []
+    for _ in range(3):
+        base = [word() for _ in range(150)]
+        for k in range(30):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), k % 9):
+                copy[at] = word()
+            out.append(" ".join(copy))
+    passage = " ".join(word() for _ in range(60))
+    out += [f"{passage} {' '.join(word() for _ in range(rng.randint(1, 60)))}" for _ in range(30)]
+    rng.shuffle(out)
+    return [(i + 1, t) for i, t in enumerate(out)]
+
+
+@pytest.mark.parametrize("crowded, rounds", [(64, 3), (3, 3), (1, 0)])
+def test_near_duplicates(spark, docs, rows, empty, edited, crowded, rounds):
+    frame = spark.createDataFrame(edited, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(frame, crowded=crowded, rounds=rounds).collect()} == groups(edited)
+    if crowded == 64:
+        assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == groups(rows)
+        assert jaccard.near_duplicates(empty).count() == 0
+
+
+def test_stage_finds_copies_many_bits_apart(spark, edited):
+    want = groups(edited)
+    prints = {i: fingerprint(t, 5) for i, t in edited}
+    assert any(want[a] == want[b] and alike(shingles(s), shingles(t)) and (prints[a] ^ prints[b]).bit_count() > 2 for a, s in edited for b, t in edited if a < b)
+    frame = spark.createDataFrame(edited, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect()} == set(want.values())
