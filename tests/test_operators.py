@@ -127,3 +127,12 @@ def test_incidents(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "e"))
     got = S.drained(S.incidents(S.stream_of(spark, str(tmp_path / "e"))), "append").orderBy("at").collect()
     assert [(r.change, r.errors) for r in got] == [("opened", 1), ("reminder", 3), ("recovered", 3), ("opened", 4)]
+
+
+def test_query_windows_of_all_texts(spark, tmp_path):
+    from lodestone.queries import QUERIES
+
+    texts = [(1, "x " * 200 + "under it"), (2, "one Token"), (3, "licensed"), (4, "none"), (5, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.window for r in QUERIES["query_windows"](spark, str(tmp_path)).collect()}
+    assert "under it" in got.pop(1) and got == {2: "one Token", 3: "licensed", 4: "", 5: ""}
