@@ -104,6 +104,11 @@ def latest_time(texts: Column) -> Column:
     return F.coalesce(F.date_format(read, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.array_max(texts), F.lit(""))
 
 
+def latest_in_group(text: Column) -> Column:
+    """`latest_time` of a group's texts, by aggregates that combine before the shuffle."""
+    return F.coalesce(F.date_format(F.max(F.try_to_timestamp(text)), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.max(text), F.lit(""))
+
+
 def missing_targets(links: DataFrame, pages: DataFrame, target: str, path: str) -> DataFrame:
     """Links whose target is no page."""
     return links.join(pages.select(F.col(path).alias(target)).distinct(), target, "left_anti")

@@ -120,7 +120,7 @@ def missing_concepts(spark, folder):
 SELECT user_id, CASE WHEN count(*) FILTER (WHERE event_id % 2 = 0) > 0 THEN strftime(max(ts) FILTER (WHERE event_id % 2 = 0), '%Y-%m-%dT%H:%M:%SZ') ELSE 'odd' END AS latest FROM events WHERE user_id < 40 GROUP BY 1""")
 def latest_evidence(spark, folder):
     text = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise("odd")
-    return table(spark, folder, "events").where("user_id < 40").groupBy("user_id").agg(E.latest_time(F.collect_list(text)).alias("latest"))
+    return table(spark, folder, "events").where("user_id < 40").groupBy("user_id").agg(E.latest_in_group(text).alias("latest"))
 
 
 @query(r"""

@@ -136,3 +136,14 @@ def test_query_windows_of_all_texts(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.window for r in QUERIES["query_windows"](spark, str(tmp_path)).collect()}
     assert "under it" in got.pop(1) and got == {2: "one Token", 3: "licensed", 4: "", 5: ""}
+
+
+def test_latest_in_group_gathers_no_list(spark):
+    from lodestone.operators import evidence
+    from lodestone.queries import QUERIES
+
+    rows = [(1, "2024-01-02T00:00:00Z"), (1, "2024-01-03T01:00:00+02:00"), (1, "odd"), (2, "a"), (2, "b"), (3, None)]
+    df = spark.createDataFrame(rows, "k long, t string").groupBy("k")
+    got = {r.k: (r.x, r.y) for r in df.agg(evidence.latest_in_group(F.col("t")).alias("x"), evidence.latest_time(F.collect_list("t")).alias("y")).collect()}
+    assert got == {1: ("2024-01-02T23:00:00Z",) * 2, 2: ("b", "b"), 3: ("", "")}
+    assert "collect_list" not in QUERIES["latest_evidence"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
