@@ -100,6 +100,12 @@ def hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h, mix(word_hashes(turned, offsets[:-1], offsets[1:]) ^ np.uint64(0x9E3779B97F4A7C15))
 
 
+def _capital_marks(texts: pa.Array) -> bool:
+    """Whether a capital stands before what may be a combining mark: the two compose before the tokenizer lowers them."""
+    data, _ = utf8(texts)
+    return bool(((data[1:] >= 0xC6) & (data[:-1] - np.uint8(65) < 26)).any())
+
+
 class Encoder:
     """Ids of whole texts; remembers the ids of words."""
 
@@ -148,7 +154,7 @@ class Encoder:
     def _known(self, words: pa.Array, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """(begin, size) in the memory of distinct words, learnt where they are new.
 
-        New words that end in marks after a Latin letter are put together from the two parts, which are learnt first.
+        New words that end in marks after a letter a-z or A-Z are put together from the two parts, which are learnt first.
         """
         h, g = hashes(words)
         order = np.argsort(h, kind="stable")
@@ -170,7 +176,7 @@ class Encoder:
         first, last = [], []
         for w in texts:
             core = w.rstrip(TAIL)
-            if core and len(core) < len(w) and core[-1] < "\u0250" and core[-1].isalpha():
+            if core and len(core) < len(w) and core[-1].isascii() and core[-1].isalpha():  # others may lower to more than a letter
                 first.append(core.lower() if core.isascii() else core)
                 last.append(w[len(core) :])
             else:
@@ -190,11 +196,14 @@ class Encoder:
     def encode(self, texts: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id last, and where each text begins (one more than texts)."""
         texts = pc.fill_null(texts, "")
-        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # else a special token could come about
-            texts = pc.ascii_lower(texts)
-        split = pc.ascii_split_whitespace(texts)
+        lower = not pc.any(pc.match_substring(texts, "<|")).as_py()  # else a special token could come about
+        plain = lower and not _capital_marks(texts)
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if plain else texts)
         first = np.asarray(split.offsets)
-        coded = split.flatten().dictionary_encode()
+        words = split.flatten()
+        if lower and not plain:
+            words = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words)
+        coded = words.dictionary_encode()
         if len(self.memory) > self.remembered:
             self.memory = Memory(self.width)
         begin, size = self._known(coded.dictionary)

@@ -2,11 +2,13 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -203,8 +205,6 @@ def test_lines(spark, docs, rows, empty, crowded):
 
 @pytest.mark.parametrize("most", [1, 2, 3])
 def test_banded_distance(spark, most):
-    import random
-
     rng, pairs = random.Random(4), [("", ""), ("a", ""), ("", "abc")]
     letters = "abé\U0001f600 "
     for _ in range(1500):
@@ -242,12 +242,24 @@ def test_token_files(docs, rows, empty):
 
 def test_special_words_are_encoded_alike():
     encoder = tokens.Encoder(tokens.tokenizer_path())
-    for t in ("a~b ~ c", "<|endoftext|>x <|ENDOFTEXT|>", "It's DON'T 12.5 é́ É x́.", "Ünï. ,,, a,b. 　x", "İI ſ"):
-        import pyarrow as pa
-
+    fixed = ["a~b ~ c", "<|endoftext|>x <|ENDOFTEXT|>", "It's DON'T 12.5 é́ É x́.", "Ünï. ,,, a,b. 　x", "İI ſ", "TAKSİ.", "I\u0307\u0338 I\u0338\u0307. AI\u0307!"]
+    for t in fixed + [f"{w}{m}" for m in tokens.TAIL for w in ("İ", "TAKSİ", "aİ", "ﬁ", "ǅ", "ß", "I\u0307")]:
         assert encoder.encode(pa.array([t]))[0].tolist() == ids_of(t).tolist()
 
 
+def test_random_texts_are_encoded_alike():
+    rng = random.Random(11)
+    letters = [*"abIKAzE  ", *tokens.TAIL, *"İıſßéÉǅﬁΣςйЖ漢字½²٣'~_-<|>", "\u0307", "\u0338", "\u0301", "\u0327", "\u200d", "\u00a0", "\u2028", "\x85", "\U0001f600", "\u212a", "\n"]
+    encoder = tokens.Encoder(tokens.tokenizer_path())
+    for _ in range(40):
+        texts = ["".join(rng.choices(letters, k=rng.randint(0, 14))) for _ in range(250)]
+        texts += ["".join(chr(rng.choice((rng.randrange(32, 0x250), rng.randrange(0x300, 0x370), rng.randrange(0x1E00, 0x2100)))) for _ in range(8)) for _ in range(250)]
+        flat, bounds = encoder.encode(pa.array(texts))
+        want = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+        wrong = [t for t, a, b, w in zip(texts, bounds, bounds[1:], want) if flat[a:b].tolist() != [*w.ids, 2]]
+        assert not wrong
+
+
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 3000])
 def test_wavelet_matrix(n):
     a = np.random.default_rng(n).integers(0, 300, n).astype(np.uint16)
@@ -316,8 +328,6 @@ def test_rules(docs, rows, empty):
 
 
 def test_label_model_finds_accuracies():
-    import random
-
     rng, counts = random.Random(3), Counter()
     for _ in range(20000):
         good = rng.random() < 0.85
