@@ -14,13 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialise
+from lodestone.llm.common import BROADCAST_ROWS, materialise, small
 
 #: Words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after A-Z are lowered; before that A-Z belong to them too.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows up to which a counted side is broadcast (some 10 MB); beyond it the join shuffles.
-BROADCAST_ROWS = 100_000
 
 
 def raw_words(text: Column) -> Column:
@@ -38,11 +36,6 @@ def count_words(words: Column) -> Column:
     return F.when(F.size(words) == 1, 1 - empty(1)).otherwise(F.size(words) - empty(1) - empty(-1)).cast("long")
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast if it is counted and small."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def windows(items: DataFrame, length: int) -> DataFrame:
     """(item_id, ws, win): windows of each item's words and where they begin."""
     words = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.filter(F.transform(raw_words(F.col("text")), lowered), lambda w: w != "").alias("words")).where(F.size("words") > 0)

@@ -8,8 +8,8 @@ value, with up to t_i bits flipped); pairs are verified by popcount.
 
 A bucket with more than `crowded` fingerprints is not paired. Its members join through what fingerprints within two bits
 have in common: each fingerprint stands for itself and its neighbours at one bit, and those that share such a point link to its
-smallest, 65 rows each however large the bucket. That way is exact for two bits or fewer and has no limit on partners, the thresholds that are
-allowed here.
+smallest, 65 rows each however large the bucket. That way is exact for two bits or fewer and has no limit on partners; larger distances
+go through `probing`.
 
 Links become components by alternating large-star and small-star rounds, each written to the shared folder.
 """
@@ -17,6 +17,7 @@ Links become components by alternating large-star and small-star rounds, each wr
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import bounded, materialise, pieces
+from lodestone.llm.probing import gathered_bits, packed, search
 
 BITS = 64
 #: Links in a file of a round of `components`; rounds are many and links few, so small files would outnumber them.
@@ -103,27 +105,26 @@ def flips(width: int, most: int) -> list[int]:
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
 
 
-def packed(fp, bits: list[int]):
-    """The partition's bits of a fingerprint, moved together."""
-    out = F.lit(0).cast("long")
-    for to, b in enumerate(bits):
-        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, b).bitwiseAND(F.lit(1).cast("long")), to))
-    return out
-
-
-def plan(fps: DataFrame, distance: int) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of the partitions to probe, chosen among divisions into 1 to distance + 1 partitions."""
+def plan(fps: DataFrame, distance: int, most_parts: int = 8) -> list[tuple[list[int], int]]:
+    """(bits, threshold) of the partitions to probe, chosen among divisions into 1 to distance + 1 partitions, `most_parts` at most."""
     agree, n = bit_counts(fps)
-    divisions = {parts: partition_bits(agree, n, parts) for parts in range(1, distance + 2)}
+    divisions = {parts: partition_bits(agree, n, parts) for parts in range(1, min(distance + 1, most_parts) + 1)}
     columns = [F.sum(F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1).cast("long"))).alias(f"b{b}") for b in range(BITS)]
     row = fps.agg(*columns).first()
     ones = np.array([(row[b] or 0) / max(n, 1) for b in range(BITS)])
     same = np.maximum(ones**2 + (1 - ones) ** 2, 0.5)  # two fingerprints agree on the bit
-    pairs = {}
-    for parts, groups in divisions.items():
-        keys = fps.select(F.explode(F.array(*(F.struct(F.lit(i).alias("part"), packed(F.col("fp"), g).alias("key")) for i, g in enumerate(groups)))).alias("x")).select("x.*")
-        found = keys.groupBy("part", "key").count().groupBy("part").agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("pairs")).collect()  # a row for each partition
-        pairs[parts] = {r.part: r.pairs for r in found}
+
+    def keys(batches):
+        for batch in batches:
+            fp = batch.column("fp").to_numpy(zero_copy_only=False)
+            for parts, groups in divisions.items():
+                for i, g in enumerate(groups):
+                    key, count = np.unique(gathered_bits(fp, g), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), parts * BITS + i, np.int32)), pa.array(key), pa.array(count)], names=["part", "key", "n"])
+
+    sizes = fps.select("fp").mapInArrow(keys, "part int, key long, n long").groupBy("part", "key").agg(F.sum("n").alias("n"))
+    found = sizes.groupBy("part").agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2).alias("pairs")).collect()  # a row for each partition
+    pairs = {r.part: r.pairs for r in found}
     best: tuple[float, list] = (float("inf"), [])
     for parts, groups in divisions.items():
         costs = []
@@ -132,7 +133,8 @@ def plan(fps: DataFrame, distance: int) -> list[tuple[list[int], int]]:
             spread = np.array([1.0])
             for b in group:
                 spread = np.convolve(spread, [1.0, (1 - same[b]) / same[b]])
-            costs.append([0.0] + [len(flips(len(group), t)) * n + pairs[parts].get(i, 0.0) * float(spread[: t + 1].sum()) for t in range(distance + 1)])
+            probes = np.cumsum([float(comb(len(group), t)) for t in range(distance + 1)])
+            costs.append([0.0] + [probes[t] * n + pairs.get(parts * BITS + i, 0.0) * float(spread[: t + 1].sum()) for t in range(distance + 1)])
         cost, thresholds = allocate(costs, distance + 1)
         if cost < best[0]:
             best = (cost, [(g, t) for g, t in zip(groups, thresholds) if t >= 0])
@@ -142,6 +144,8 @@ def plan(fps: DataFrame, distance: int) -> list[tuple[list[int], int]]:
 def links(fps: DataFrame, distance: int = 2, crowded: int = 64) -> DataFrame:
     """(a, b): fingerprints a < b within `distance` bits, enough of them to connect all that are; `fps` has distinct fp."""
     chosen = plan(fps, distance)
+    if distance > 2:
+        return _probed(fps, chosen, distance)
     found = []
     crowds = []
     for bits, threshold in chosen:
@@ -164,10 +168,26 @@ def links(fps: DataFrame, distance: int = 2, crowded: int = 64) -> DataFrame:
     return out.distinct()
 
 
+def _probed(fps: DataFrame, chosen: list[tuple[list[int], int]], distance: int, emit: int = 64) -> DataFrame:
+    """Links of any distance by `probing`: in rounds, as groups of near copies have more links than components need."""
+    n, parts = fps.count(), [(0, bits, most) for bits, most in chosen]
+    held = fps.select(F.col("fp").alias("node"), F.lit(0).cast("long").alias("n"), F.col("fp").alias("fp0"))
+    nodes = held.select("node", "n", F.col("node").alias("root"), F.lit(True).alias("asks"), "fp0")
+    out, first = None, True
+    while True:
+        found = search(nodes, parts, 1, n, distance, distance, 0, emit, first)
+        pairs = found.where("b is not null")
+        out = pairs if out is None else out.union(pairs)
+        again = found.where("b is null").select(F.col("a").alias("node")).distinct()
+        if again.isEmpty():
+            return out
+        rooted = held.join(components(out), "node", "left").join(again.withColumn("asked", F.lit(True)), "node", "left")
+        nodes = rooted.select("node", "n", F.coalesce("root", "node").alias("root"), F.col("asked").isNotNull().alias("asks"), "fp0")
+        emit, first = emit * 8, False
+
+
 def _through_points(fps: DataFrame, distance: int) -> DataFrame:
     """Links of fingerprints by shared points at half the distance; exact for two bits or fewer."""
-    if distance > 2:
-        raise ValueError("crowded buckets are exact for two bits or fewer")
     masks = flips(BITS, min(distance, 1))
     points = fps.select("fp", F.explode(F.transform(F.array(*(F.lit(m).cast("long") for m in masks)), lambda m: F.col("fp").bitwiseXOR(m))).alias("point"))
     if distance == 1:
@@ -180,26 +200,32 @@ def _through_points(fps: DataFrame, distance: int) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for all nodes of `edges` (a, b); root is the smallest node reachable."""
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    size, unsettled = _shape(now)
     for _ in range(rounds):
-        files = now.count() // EDGES_IN_FILE + 1
+        if not unsettled:
+            break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         small_low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_low, "a")
         next_ = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        after = materialise(next_.coalesce(files), "edges")
-        roots = after.select("b").distinct()
-        deep = after.join(roots.withColumnRenamed("b", "a"), "a", "left_semi").limit(1).count()
-        many = after.groupBy("a").count().where("count > 1").limit(1).count()
-        now = after
-        if not deep and not many:
-            break
+        now = materialise(next_.coalesce(size // EDGES_IN_FILE + 1), "edges")
+        size, unsettled = _shape(now)
     else:
-        raise RuntimeError("components did not settle")
+        if unsettled:
+            raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _shape(edges: DataFrame) -> tuple[int, bool]:
+    """How many links, and whether they are other than stars: a node with two roots, or a root that has one itself."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    by_node = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    row = by_node.agg(F.sum("up").alias("n"), F.max((F.col("up") > 1) | (F.col("up") > 0) & (F.col("down") > 0)).alias("more")).first()
+    return row.n or 0, bool(row.more)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
     """(doc_id, fp, component_id) for each row of `docs` (doc_id, text).
 

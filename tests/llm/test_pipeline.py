@@ -1,6 +1,7 @@
 """The pipeline against its stages done plainly, and the registered queries of this package."""
 
-from test_ops import benchmark_hits, connected, fingerprint, ids_of, line_decisions, words
+from test_ops import benchmark_hits, ids_of, line_decisions, words
+from test_shingles import groups
 
 import __spark_entry__
 import corpus_pipeline
@@ -17,7 +18,7 @@ def test_pipeline(spark, docs, rows, tmp_path):
     left = [(i, t) for i, t in rows if i in kept]
     gone = line_decisions(left)
     left = [(i, "\n".join(x for n, x in enumerate(t.split("\n")) if not gone.get((i, n)))) for i, t in left]
-    roots = connected({i: fingerprint(t, 5) for i, t in left}, 2)
+    roots = groups(left)
     left = [(i, t) for i, t in left if roots[i] == i]
     hits = benchmark_hits(left, items)
     left = {i: t for i, t in left if not hits[i][1]}

@@ -6,7 +6,7 @@ import pytest
 from test_ops import fingerprint
 
 import corpus_pipeline
-from lodestone.llm import jaccard
+from lodestone.llm import shingles as near
 
 
 def shingles(t, k=5):
@@ -53,13 +53,13 @@ def edited():
     return [(i + 1, t) for i, t in enumerate(out)]
 
 
-@pytest.mark.parametrize("crowded, rounds", [(64, 3), (3, 3), (1, 0)])
-def test_near_duplicates(spark, docs, rows, empty, edited, crowded, rounds):
+@pytest.mark.parametrize("emit", [8, 1])
+def test_near_duplicates(spark, docs, rows, empty, edited, emit):
     frame = spark.createDataFrame(edited, "doc_id long, text string").repartition(3)
-    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(frame, crowded=crowded, rounds=rounds).collect()} == groups(edited)
-    if crowded == 64:
-        assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == groups(rows)
-        assert jaccard.near_duplicates(empty).count() == 0
+    assert {r.doc_id: r.component_id for r in near.near_duplicates(frame, emit=emit).collect()} == groups(edited)
+    if emit == 8:
+        assert {r.doc_id: r.component_id for r in near.near_duplicates(docs).collect()} == groups(rows)
+        assert near.near_duplicates(empty).count() == 0
 
 
 def test_stage_finds_copies_many_bits_apart(spark, edited):
