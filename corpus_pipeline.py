@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontam, jaccard, lines, packing, rules
+from lodestone.llm import decontam, lines, packing, rules, shingles
 from lodestone.llm.common import documents, materialise
 
 
@@ -38,7 +38,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group that pairs with four fifths of their five-word shingles in common connect."""
-    found = jaccard.near_duplicates(docs, shingle=5, percent=80)
+    found = shingles.near_duplicates(docs, shingle=5, percent=80)
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
     return docs.join(first.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(first["_first"]), "left_semi")
 
