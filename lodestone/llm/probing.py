@@ -26,7 +26,7 @@ from lodestone.llm.common import materialise, small
 #: Stored fingerprints of a bucket that one task holds, some 4 MB.
 BUCKET = 100_000
 #: Lookups or candidates in one step.
-STEP = 1 << 20
+STEP = 1 << 17
 
 #: A partition: the table its bits are of, the bits, the threshold.
 Part = tuple[int, list[int], int]
@@ -67,6 +67,7 @@ class Bucket:
         self.roots, rank = (np.zeros(1, np.int64), np.zeros(len(key), np.int64)) if first else np.unique(rows["root"], return_inverse=True)
         order = np.lexsort((rows["node"], rank, key))
         self.rows = {name: x[order] for name, x in rows.items()}
+        self.prints = self.rows["fp"][:, part[0]].copy().view(np.uint64)
         self.keys = (key * len(self.roots) + rank)[order]
         width = len(fine)
         self.starts = np.searchsorted(self.keys, np.arange((1 << width) + 1) * len(self.roots)).astype(np.int32) if width <= 18 else None
@@ -93,33 +94,31 @@ def _spread(lo: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     flat = size.ravel()
     used = np.flatnonzero(flat)
     flat = flat[used]
-    who = np.repeat(used // size.shape[1], flat)
-    upto = np.cumsum(flat)
-    at = np.arange(len(who)) + np.repeat(lo.ravel()[used] - (upto - flat), flat)
-    return who, at
+    upto = np.cumsum(flat, dtype=np.int32)
+    at = np.repeat(lo.ravel()[used] - (upto - flat), flat)
+    at += np.arange(len(at), dtype=np.int32)
+    return np.repeat((used // size.shape[1]).astype(np.int32), flat), at
 
 
 def _meet(bucket: Bucket, ask: dict[str, np.ndarray], same: bool, flips: np.ndarray, distance: int, wide: int, percent: int, emit: int):
     """Nodes that ask, their partners, and the nodes that have more than is given."""
-    ranges = bucket.ranges(ask, flips)
     over = np.zeros(len(ask["node"]), bool)
-    found = []
+    found = [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
     held = bucket.rows
-    for lo, hi in ranges:
-        size = np.maximum(hi - lo, 0)
-        room = 8 * emit
-        over |= (size > room).any(1)
-        size = np.minimum(size, room)
+    mine = ask["fp"][:, bucket.table].copy().view(np.uint64)
+    for lo, hi in bucket.ranges(ask, flips):
+        size = np.maximum(hi - lo, 0).astype(np.int32)
+        over |= (size > 8 * emit).any(1)
+        size, lo = np.minimum(size, np.int32(8 * emit)), lo.astype(np.int32)
         total = np.cumsum(size.sum(1))
         begin = 0
         while begin < len(total):
             end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + STEP, "right")))
             who, at = _spread(lo[begin:end], size[begin:end])
-            who += begin
-            apart = np.bitwise_count((ask["fp"][who] ^ held["fp"][at]).view(np.uint64))
-            good = (apart[:, bucket.table] <= distance) & (apart.sum(1, dtype=np.int64) <= wide) & (ask["node"][who] != held["node"][at])
-            if same:
-                good &= held["node"][at] < ask["node"][who]
+            near = np.flatnonzero(np.bitwise_count(mine[begin:end][who] ^ bucket.prints[at]) <= distance)
+            who, at = who[near] + begin, at[near]
+            good = np.bitwise_count((ask["fp"][who] ^ held["fp"][at]).view(np.uint64)).sum(1, dtype=np.int64) <= wide
+            good &= (held["node"][at] < ask["node"][who]) if same else (held["node"][at] != ask["node"][who])
             x, y = ask["n"][who], held["n"][at]
             good &= np.minimum(x, y) * 100 >= np.maximum(x, y) * percent
             found.append((who[good], held["node"][at[good]]))

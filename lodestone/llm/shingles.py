@@ -43,15 +43,23 @@ def _digest(hashes: np.ndarray) -> int:
     return int(np.array([xxhash.xxh3_64_intdigest(hashes.tobytes())], np.uint64).view(np.int64)[0])
 
 
+_LOWEST = np.uint64(0x0101010101010101)
+
+
 def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The fingerprint of each set: bits set in over half its hashes; empty: zero."""
+    """The fingerprint of each set: bits set in over half its hashes; empty: zero. Eight bits are counted at a time, in bytes, 255 hashes at most."""
     out = np.zeros(len(sizes), np.int64)
     full = np.flatnonzero(sizes)
     if len(full):
-        begin = (np.cumsum(sizes) - sizes)[full]
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
-        out[full] = np.packbits(ones * 2 > sizes[full, None], axis=1, bitorder="little").view("<i8")[:, 0]
+        begin, size = (np.cumsum(sizes) - sizes)[full], sizes[full]
+        blocks = -(-size // 255)
+        first = np.cumsum(blocks) - blocks
+        starts = np.repeat(begin, blocks) + 255 * (np.arange(blocks.sum()) - np.repeat(first, blocks))
+        counts = np.empty((len(starts), 8, 8), np.uint8)
+        for j in range(8):
+            counts[:, :, j] = np.add.reduceat(hashes >> np.uint64(j) & _LOWEST, starts).view(np.uint8).reshape(-1, 8)
+        ones = np.add.reduceat(counts.reshape(-1, 64), first, axis=0, dtype=np.int32)
+        out[full] = np.packbits(ones * 2 > size[:, None], axis=1, bitorder="little").view("<i8")[:, 0]
     return out
 
 
