@@ -45,6 +45,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def narrow(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the other columns in one struct, where no name can clash with an operator's own."""
+    others = [docs[c].alias(c) for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*others or [F.lit(0).alias("none")]).alias("_others"))
+
+
+def wide(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of `docs` again."""
+    return found.select(*(F.col(c) if c in ("doc_id", "text") else F.col("_others")[c].alias(c) for c in docs.columns))
+
+
 #: Bytes of rows that go to a Python worker at once.
 BATCH_BYTES = 8 << 20
 

@@ -28,7 +28,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens."""
     found = packing.pack(documents(spark, sf_dir))
-    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "class_size")
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "size_class")
 
 
 @query
@@ -115,8 +115,8 @@ def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_segment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all documents that an earlier line equals or nearly equals; classes has line:doc_id:line of each and of the line that stands for it."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    found = lines.by_document(docs)
-    out = docs.select("doc_id").join(found, "doc_id", "left")
+    found = lines.by_document(docs).withColumnRenamed("doc_id", "id")
+    out = docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("id")), "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     number = lambda r: r["no"].cast("string")
     head = lambda r: F.concat_ws(":", number(r), r["head"]["doc_id"].cast("string"), r["head"]["no"].cast("string"))

@@ -203,6 +203,16 @@ def test_lines(spark, docs, rows, empty, crowded):
             assert kept[i] == (t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if not plain.get((i, n))))
 
 
+def test_lines_keep_columns_of_any_name(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HOT", 2)
+    names = "_gone _doc h g line no key removed head deal first _others earlier n".split()
+    held = [(i, "a common line of the texts\nx", *range(len(names))) for i in range(1, 10)] + [(None, "a common line of the texts!", *range(len(names)))]
+    frame = spark.createDataFrame(held, "doc_id long, text string, " + ", ".join(f"{c} int" for c in names))
+    got = lines.remove_lines(frame)
+    assert got.columns == frame.columns
+    assert sorted((r.doc_id or -1, r.text, r.deal) for r in got.collect()) == [(-1, "a common line of the texts!", 9), (1, "x", 9), *((i, "", 9) for i in range(2, 10))]
+
+
 @pytest.mark.parametrize("most", [1, 2, 3])
 def test_banded_distance(spark, most):
     rng, pairs = random.Random(4), [("", ""), ("a", ""), ("", "abc")]
@@ -273,8 +283,10 @@ def test_wavelet_matrix(n):
     assert m.count(511) == 0 and m.count(1 << 20) == 0
 
 
-def test_packing(docs, rows, empty):
-    got = packing.pack(docs).collect()
+@pytest.mark.parametrize("meet", [64, 1])
+def test_packing(docs, rows, empty, monkeypatch, meet):
+    monkeypatch.setattr(packing, "MEET", max(meet, 2))
+    got = packing.pack(docs.repartition(3 if meet == 64 else 9)).collect()
     text = dict(rows)
     pieces, sequences = {}, {}
     for r in got:
@@ -287,23 +299,33 @@ def test_packing(docs, rows, empty):
             assert r.start == at and r.doc_tokens == len(ids) and bytes(r.ids) == ids[at : at + r.length].tobytes()
             at += r.length
         assert at == len(ids)
-    padding = total = 0
+    tail = 0
     for held in sequences.values():
         at = 0
         for r in sorted(held, key=lambda r: r.offset):
             assert r.offset == at
             at += r.length
-        assert at <= 4096
-        total += at
-        padding += 0 if at & (at - 1) == 0 else 4096 - at
-    assert padding <= 0.02 * total
+        assert at & (at - 1) == 0 and at <= 4096
+        (k,) = {r.size_class for r in held}
+        tail += at if k == 0 else 0
+        if k:
+            assert at == 4096
+            lengths = [r.length for r in sorted(held, key=lambda r: r.offset)]
+            assert len(lengths) in (k, k + 1) or k == 16
+            assert all(k == 16 or 4096 / (k + 1) < x <= 4096 / k for x in lengths[: len(lengths) - 1])
+    assert tail < 16 * 4096
     assert packing.pack(empty).count() == 0
 
 
-def test_cuts_sum_up():
-    for length in range(1, 9000, 7):
-        sizes = packing.cuts(length, 4096)
-        assert sum(sizes) == length and len(sizes) <= length // 4096 + 6
+def test_packer_cuts_little():
+    rng = random.Random(2)
+    packer = packing.Packer(0, 4096, 16)
+    sizes = [min(9000, int(rng.lognormvariate(6, 1)) + 1) for _ in range(5000)]
+    for i, n in enumerate(sizes):
+        packer.add(i, 0, np.zeros(n, np.uint16), n)
+    waiting = packer.waiting()
+    assert sum(len(x[2]) for x in waiting) < 16 * 4096
+    assert len(packer.done) + len(waiting) < 1.3 * sum(1 + n // 4096 for n in sizes)
 
 
 # 8
