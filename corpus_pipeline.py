@@ -11,29 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontam, lines, packing, rules, shingles
-from lodestone.llm.common import documents, materialise
-
-
-def _narrow(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and the other columns in one struct, where no name can clash with an operator's own."""
-    others = [docs[c].alias(c) for c in docs.columns if c not in ("doc_id", "text")]
-    return docs.select("doc_id", "text", F.struct(*others or [F.lit(0).alias("none")]).alias("_others"))
-
-
-def _wide(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of `docs` again."""
-    return found.select(*(F.col(c) if c in ("doc_id", "text") else F.col("_others")[c].alias(c) for c in docs.columns))
+from lodestone.llm.common import documents, materialise, narrow, wide
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    return _wide(rules.judge(_narrow(docs)).where("rules.kept"), docs)
+    return wide(rules.judge(narrow(docs)).where("rules.kept"), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that an earlier line equals or nearly equals; n_chars follows the text."""
     found = lines.remove_lines(docs)
-    return found.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns) if "n_chars" in docs.columns else found
+    size = F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars")
+    return found.select(*(size if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +35,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of ten words with a benchmark item."""
-    found = decontam.phrase_matches(_narrow(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _wide(found.where(F.size("hits") == 0), docs)
+    found = decontam.phrase_matches(narrow(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return wide(found.where(F.size("hits") == 0), docs)
 
 
 def harmonic_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
