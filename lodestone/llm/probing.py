@@ -5,8 +5,8 @@ own bucket and asks in all buckets that few enough of its coarse bits flipped le
 is spent on the fine bits inside the bucket, where masks are looked up in an array sorted by them, so that probes are
 never rows of a shuffle. Of two fingerprints in different buckets one asks, of two in one bucket the one with the larger node.
 
-Buckets with more than BUCKET fingerprints are dealt to several tasks, and asked in each. A node that has more than `emit` partners
-in a bucket gives its smallest ones and is asked again once links have made components, then for partners of other
+Buckets with more than BUCKET fingerprints are dealt to several tasks, and asked in each. A node that asks and has more than `emit` partners
+gives its smallest ones and is asked again once links have made components, then for partners of other
 components alone and with a larger `emit`, until none has too many: no partner is lost, and a group of near copies is never
 written as all its pairs.
 """
@@ -25,6 +25,8 @@ from lodestone.llm.common import materialise, small
 
 #: Stored fingerprints of a bucket that one task holds, some 4 MB.
 BUCKET = 100_000
+#: Candidates behind one mask that are looked at, at least; if there are more the node is asked again.
+ROOM = 1024
 #: Lookups or candidates in one step.
 STEP = 1 << 17
 
@@ -101,15 +103,16 @@ def _spread(lo: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _meet(bucket: Bucket, ask: dict[str, np.ndarray], same: bool, flips: np.ndarray, distance: int, wide: int, percent: int, emit: int):
-    """Nodes that ask, their partners, and the nodes that have more than is given."""
+    """Nodes that ask and have partners, how many are given, the partners, and whether there are more."""
     over = np.zeros(len(ask["node"]), bool)
     found = [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
     held = bucket.rows
     mine = ask["fp"][:, bucket.table].copy().view(np.uint64)
     for lo, hi in bucket.ranges(ask, flips):
         size = np.maximum(hi - lo, 0).astype(np.int32)
-        over |= (size > 8 * emit).any(1)
-        size, lo = np.minimum(size, np.int32(8 * emit)), lo.astype(np.int32)
+        room = max(8 * emit, ROOM)
+        over |= (size > room).any(1)
+        size, lo = np.minimum(size, np.int32(room)), lo.astype(np.int32)
         total = np.cumsum(size.sum(1))
         begin = 0
         while begin < len(total):
@@ -129,7 +132,9 @@ def _meet(bucket: Bucket, ask: dict[str, np.ndarray], same: bool, flips: np.ndar
     place = np.arange(len(who)) - np.searchsorted(who, who)
     over[who[place >= emit]] = True
     keep = place < emit
-    return ask["node"][who[keep]], partner[keep], ask["node"][over]
+    count = np.bincount(who[keep], minlength=len(over))
+    some = np.flatnonzero((count > 0) | over)
+    return ask["node"][some], count[some], partner[keep], over[some]
 
 
 def _rows(batch: pa.RecordBatch, tables: int) -> dict[str, np.ndarray]:
@@ -138,7 +143,7 @@ def _rows(batch: pa.RecordBatch, tables: int) -> dict[str, np.ndarray]:
 
 
 def search(nodes: DataFrame, parts: list[Part], tables: int, n: int, distance: int, wide: int, percent: int = 0, emit: int = 8, first: bool = True) -> DataFrame:
-    """(a, b) of nodes whose fingerprints are near, and (a, null) for nodes to be asked again.
+    """(a, held, more): nodes that ask, the partners whose fingerprints are near, `emit` at most, and whether to ask again for others.
 
     `nodes` has node, n (sizes, at least `percent` of each other), root, asks and fp0 to fp(tables - 1), of which `distance` bits may
     differ in the table of some part and `wide` in all. Unless it is the `first` time, partners have other roots.
@@ -165,9 +170,14 @@ def search(nodes: DataFrame, parts: list[Part], tables: int, n: int, distance: i
                 marks = [np.full(len(rows), i), np.concatenate(bucket), np.concatenate(k)]
                 yield pa.RecordBatch.from_arrays([pa.array(m.astype(t)) for m, t in zip(marks, (np.int32, np.int64, np.int32))] + rows.columns, names=["part", "bucket", "k", *columns])
 
-    entry_rows = nodes.select("asks", *columns).mapInArrow(entries, "part int, bucket long, k int, " + ", ".join(f"{c} long" for c in columns))
-    spread = materialise(entry_rows, "entries")
-    sizes = spread.where("k = -1").groupBy("part", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET)
+    def stored(batches):
+        for batch in batches:
+            for i, ((table, _, _), c) in enumerate(zip(parts, coarse)):
+                bucket, count = np.unique(gathered_bits(batch.column(f"fp{table}").to_numpy(zero_copy_only=False), c), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), i, np.int32)), pa.array(bucket), pa.array(count)], names=["part", "bucket", "n"])
+
+    spread = nodes.select("asks", *columns).mapInArrow(entries, "part int, bucket long, k int, " + ", ".join(f"{c} long" for c in columns))
+    sizes = nodes.select(*prints).mapInArrow(stored, "part int, bucket long, n long").groupBy("part", "bucket").agg(F.sum("n").alias("n")).where(F.col("n") > BUCKET)
     crowded = sizes.select("part", "bucket", F.ceil(F.col("n") / BUCKET).cast("int").alias("deals"))
     own = F.array(F.pmod(F.xxhash64("node"), F.col("deals")).cast("int"))
     deal = F.when(F.col("deals").isNull(), F.array(F.lit(0))).when(F.col("k") == -1, own).otherwise(F.sequence(F.lit(0), F.col("deals") - 1))
@@ -183,7 +193,7 @@ def search(nodes: DataFrame, parts: list[Part], tables: int, n: int, distance: i
                 continue
             marks = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "bucket", "deal", "k")], 1)
             cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1).tolist(), len(marks)]
-            pairs, again = [], []
+            met = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
             for begin, end in zip(cuts, cuts[1:]):
                 *at, k = marks[begin].tolist()
                 rows = _rows(batch.slice(begin, end - begin), tables)
@@ -201,12 +211,10 @@ def search(nodes: DataFrame, parts: list[Part], tables: int, n: int, distance: i
                     known[left] = masks(*left)
                 step = max(1, STEP // len(known[left]))
                 for row in range(0, len(rows["node"]), step):
-                    a, b, more = _meet(bucket, {name: x[row : row + step] for name, x in rows.items()}, k == 0, known[left], distance, wide, percent, emit)
-                    pairs.append((a, b))
-                    again.append(more)
-            a, b = (np.concatenate([np.zeros(0, np.int64), *(p[i] for p in pairs)]) for i in (0, 1))
-            once = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-            more = np.unique(np.concatenate([np.zeros(0, np.int64), *again]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([once[:, 0], more])), pa.concat_arrays([pa.array(once[:, 1].copy()), pa.nulls(len(more), pa.int64())])], names=["a", "b"])
-
-    return materialise(dealt.mapInArrow(run, "a long, b long").distinct(), "near")
+                    met.append(_meet(bucket, {name: x[row : row + step] for name, x in rows.items()}, k == 0, known[left], distance, wide, percent, emit))
+            node, count, partner, more = (np.concatenate(x) for x in zip(*met))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(partner))
+            yield pa.RecordBatch.from_arrays([pa.array(node), lists, pa.array(more)], names=["a", "held", "more"])
+
+    by_node = dealt.mapInArrow(run, "a long, held array<long>, more boolean").groupBy("a").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("held")))).alias("held"), F.max("more").alias("more"))  # `emit` from each bucket that it asks
+    return materialise(by_node.select("a", F.slice("held", 1, emit).alias("held"), (F.col("more") | (F.size("held") > emit)).alias("more")), "near")

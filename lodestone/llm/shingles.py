@@ -2,7 +2,8 @@
 
 Each distinct set of shingles has two independent fingerprints of 64 bits. Sets pair up if one of the two differs in `distance` bits or
 fewer (`probing`, with partitions and thresholds of `simhash.plan` for each) and both together in `wide` or fewer; pairs are then
-held against each other on their whole sets, and those of `percent` or more link. Links are exact. What they may miss are pairs
+held against each other on their whole sets, and those of `percent` or more link. Nodes with many partners are asked again for those of other
+components (`probing`), and their pairs are checked as lists, by tasks that hold the sets of two blocks of nodes. Links are exact. What they may miss are pairs
 whose fingerprints lie further apart than their sets: with 14 bits and 40, of pairs of just 0.8 some three in a thousand, of 0.85 hardly any; sets of
 under ten shingles scatter more.
 
@@ -21,6 +22,8 @@ from lodestone.llm.common import Rolling, bounded, materialise, mix, pieces, sig
 from lodestone.llm.probing import search
 from lodestone.llm.simhash import components, plan
 
+#: Bytes of sets in a block.
+CELL_BYTES = 16 << 20
 #: Documents that are read again by a broadcast of their ids, 8 MB; beyond it the join shuffles.
 KNOWN = 1_000_000
 
@@ -92,18 +95,75 @@ def sets(docs: DataFrame, shingle: int) -> DataFrame:
     return bounded(docs).select("text").mapInArrow(run, "node long, hashes array<long>")
 
 
-def verified(docs: DataFrame, held: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that are alike; `held` has (node, first): the first document of each."""
-    nodes = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
+def whole_sets(docs: DataFrame, held: DataFrame, found: DataFrame, shingle: int) -> DataFrame:
+    """(node, hashes) of all nodes in `found` (a, held), read again from the first document of each."""
+    nodes = materialise(found.select(F.col("a").alias("node")).union(found.select(F.explode("held"))).distinct(), "nodes")
     ids = materialise(held.join(nodes, "node", "left_semi").select(F.col("first").alias("_id")).distinct(), "ids")
     texts = docs.select("doc_id", "text").join(small(ids, KNOWN), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    whole = materialise(sets(texts, shingle).join(small(nodes, KNOWN), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    return materialise(sets(texts, shingle).join(small(nodes, KNOWN), "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+
+def _one_by_one(whole: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links among the pairs in `found`, both sets joined to each: for few pairs a node."""
+    pairs = found.select("a", F.explode("held").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     both = pairs.join(whole.select(F.col("node").alias("a"), F.col("hashes").alias("u")), "a").join(whole.select(F.col("node").alias("b"), F.col("hashes").alias("v")), "b")
     common = F.size(F.array_intersect("u", "v"))
-    return materialise(both.where(common * (100 + percent) >= (F.size("u") + F.size("v")) * percent).select("a", "b"), "links")
-
+    return both.where(common * (100 + percent) >= (F.size("u") + F.size("v")) * percent).select("a", "b")
+
+
+def _in_cells(whole: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """The same for many pairs a node: nodes are dealt to blocks of CELL_BYTES, and a task holds the sets of two blocks and checks the pairs between them."""
+    total = whole.agg(F.sum(F.size("hashes").cast("long") * 8 + 64)).first()[0] or 0
+    blocks = max(4, -(-total // CELL_BYTES))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    own = block("node")
+    cells = F.array_distinct(F.concat(F.transform(every, lambda j: own * blocks + j), F.transform(every, lambda j: j * blocks + own)))
+    stored = whole.select(F.explode(cells).alias("cell"), F.lit(0).alias("kind"), "node", F.col("hashes").alias("list"))
+    parted = F.filter(F.transform(every, lambda j: F.struct(j.alias("j"), F.filter("held", lambda b: block(b) == j).alias("list"))), lambda x: F.size(x["list"]) > 0)
+    asked = found.select("a", F.explode(parted).alias("p")).select((block("a") * blocks + F.col("p.j")).alias("cell"), F.lit(1).alias("kind"), F.col("a").alias("node"), F.col("p.list").alias("list"))
+    dealt = stored.union(asked).repartition(int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell").sortWithinPartitions("cell", "kind")
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, distance: int = 14, wide: int = 40, emit: int = 8) -> DataFrame:
+    def run(batches):
+        cell, nodes, lists, order = None, [], [], None
+        for batch in batches:
+            marks = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "kind")], 1)
+            names = batch.column("node").to_numpy(zero_copy_only=False)
+            flat, offsets = batch.column("list").flatten().to_numpy(zero_copy_only=False), np.asarray(batch.column("list").offsets)
+            offsets = offsets - offsets[0] if len(offsets) else offsets
+            links = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for i, (at, kind) in enumerate(marks.tolist()):
+                if at != cell:
+                    cell, nodes, lists, order = at, [], [], None
+                held = flat[offsets[i] : offsets[i + 1]]
+                if kind == 0:
+                    nodes.append(names[i])
+                    lists.append(held.copy())
+                    continue
+                if order is None:
+                    order = np.argsort(np.array(nodes, np.int64))
+                    known, hashes = np.array(nodes, np.int64)[order], [lists[j] for j in order]
+                mine = hashes[int(np.searchsorted(known, names[i]))]
+                theirs = [hashes[j] for j in np.searchsorted(known, held).tolist()]
+                for begin in range(0, len(theirs), 256):
+                    links.append(_links(names[i], mine, held[begin : begin + 256], theirs[begin : begin + 256], percent))
+            a, b = (np.concatenate(x) for x in zip(*links))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _links(node: int, mine: np.ndarray, partners: np.ndarray, theirs: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of one node with those of its partners that are alike."""
+    size = np.array([len(x) for x in theirs])
+    flat = np.concatenate(theirs)
+    inside = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat if len(mine) else np.zeros(0, bool)
+    common = np.diff(np.concatenate([[0], np.cumsum(inside)])[np.concatenate([[0], np.cumsum(size)])])
+    alike = partners[common * (100 + percent) >= (size + len(mine)) * percent]
+    return np.minimum(alike, node), np.maximum(alike, node)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, distance: int = 14, wide: int = 40, emit: int = 4) -> DataFrame:
     """(doc_id, component_id) for each row of `docs` (doc_id, text): the smallest doc_id that links connect.
 
     Null and wordless texts are equal. Rows without doc_id stay, without component unless others share theirs. Repeated doc_ids are rows of
@@ -117,15 +177,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, distan
     links, roots, first = None, None, True
     while True:
         found = search(nodes, parts, 2, n, distance, wide, percent, emit, first)
-        more = verified(docs, held, found.where("b is not null"), shingle, percent)
+        whole = whole_sets(docs, held, found, shingle)
+        more = materialise((_one_by_one if first else _in_cells)(whole, found, percent), "links")
         links = more if links is None else links.union(more)
         roots = components(links)
-        again = found.where("b is null").select(F.col("a").alias("node")).distinct()
+        again = found.where("more").select(F.col("a").alias("node"))
         if again.isEmpty():
             break
         rooted = held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         nodes = rooted.join(again.withColumn("asked", F.lit(True)), "node", "left").select("node", "n", "root", F.col("asked").isNotNull().alias("asks"), "fp0", "fp1")
-        emit, first = emit * 8, False
+        emit, first = emit * 64, False
     rooted = held.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     labelled = rooted.join(ids, "root").select("node", "component_id")

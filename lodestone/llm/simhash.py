@@ -176,9 +176,9 @@ def _probed(fps: DataFrame, chosen: list[tuple[list[int], int]], distance: int,
     out, first = None, True
     while True:
         found = search(nodes, parts, 1, n, distance, distance, 0, emit, first)
-        pairs = found.where("b is not null")
+        pairs = found.select("a", F.explode("held").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         out = pairs if out is None else out.union(pairs)
-        again = found.where("b is null").select(F.col("a").alias("node")).distinct()
+        again = found.where("more").select(F.col("a").alias("node"))
         if again.isEmpty():
             return out
         rooted = held.join(components(out), "node", "left").join(again.withColumn("asked", F.lit(True)), "node", "left")

@@ -6,7 +6,9 @@ import pytest
 from test_ops import fingerprint
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from lodestone.llm import shingles as near
+from lodestone.llm import simhash
 
 
 def shingles(t, k=5):
@@ -68,3 +70,24 @@ def test_stage_finds_copies_many_bits_apart(spark, edited):
     assert any(want[a] == want[b] and alike(shingles(s), shingles(t)) and (prints[a] ^ prints[b]).bit_count() > 2 for a, s in edited for b, t in edited if a < b)
     frame = spark.createDataFrame(edited, "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect()} == set(want.values())
+
+
+def test_cells_and_pairs_agree(spark, edited):
+    """Both ways of checking pairs, on all pairs."""
+    frame = spark.createDataFrame(edited, "doc_id long, text string")
+    marked = near.sketches(frame, 5).groupBy("node").agg(F.min("doc_id").alias("first"))
+    nodes = sorted(r.node for r in marked.collect())
+    found = spark.createDataFrame([(a, nodes[i + 1 :]) for i, a in enumerate(nodes[:-1])], "a long, held array<long>")
+    whole = near.whole_sets(frame, marked, found, 5)
+    pairs = {tuple(r) for r in near._one_by_one(whole, found, 80).collect()}
+    assert pairs == {tuple(r) for r in near._in_cells(whole, found, 80).collect()} and len(pairs) > 50
+
+
+def test_search_finds_all_within_a_distance(spark):
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    prints = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 5))) for b in base for _ in range(6)}
+    signed = sorted(x - (1 << 64) if x >> 63 else x for x in prints)
+    for distance in (3, 5):
+        links = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), distance).collect()
+        assert {tuple(r) for r in links} == {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= distance}
