@@ -106,6 +106,7 @@ FAILURE_KINDS = (
     ("dns_nxdomain", ("host does not resolve", "no such host", "nxdomain")),
     ("tls_certificate", ("self signed certificate", "unable to verify the first certificate", "altname invalid", "x509", "certificate")),
     ("cloudflare_edge", ("status 522", "status 523", "status 524", "status 525", "status 526")),
+    ("x_article_shell", ("x article returned an x error shell",)),
     ("http_access_denied", ("status 401", "401 unauthorized", "status 403", "403 forbidden", "status 451", "451 unavailable")),
     ("unsupported_file", ("unsupported file type",)),
     ("timeout", ("signal: killed", "context deadline exceeded", "timeout", "timed out")),
@@ -116,7 +117,7 @@ FAILURE_KINDS = (
 )
 
 #: Failures of a kind after which no further attempt is made.
-FINAL_ATTEMPT = {"unknown": 4, "fetch_failed": 4, "http_5xx": 4, "tls_certificate": 2, "cloudflare_edge": 2, "connectivity": 2, "http_access_denied": 2, "timeout": 2, "dns_nxdomain": 1, "unsupported_file": 1}
+FINAL_ATTEMPT = {"unknown": 4, "fetch_failed": 4, "http_5xx": 4, "tls_certificate": 2, "cloudflare_edge": 2, "connectivity": 2, "x_article_shell": 2, "http_access_denied": 2, "timeout": 2, "dns_nxdomain": 1, "unsupported_file": 1}
 
 
 def failure_kind(error: Column) -> Column:

@@ -24,14 +24,15 @@ def best_sentence(text: Column, longest: int = 220) -> Column:
 
 def best_window(text: str, terms: list[str], most: int) -> str:
     """The stretch of `most` characters around a term that covers most terms, rare ones counting more; the earliest on ties."""
-    low = text.lower()
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)  # places stay those of the text
+    rare = {t: 100 + 1000 // max(1, low.count(t)) + len(t) for t in terms}
     best: tuple[int, int] | None = None
     for term in terms:
         at = low.find(term)
         while at >= 0:
             start = max(0, min(at - most // 4, len(text) - most))
             part = low[start : start + most]
-            value = len(term) + sum(100 + 1000 // max(1, low.count(t)) + len(t) for t in dict.fromkeys(terms) if t in part)
+            value = len(term) + sum(v for t, v in rare.items() if t in part)
             if best is None or (value, -start) > (best[0], -best[1]):
                 best = (value, start)
             at = low.find(term, at + len(term))

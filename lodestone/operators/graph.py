@@ -24,19 +24,20 @@ def grams(text: Column, most: int = 3, least_length: int = 3, stop: tuple[str, .
     return F.filter(F.array_distinct(F.concat(*(runs(n) for n in range(1, most + 1)))), lambda g: g.isNotNull())
 
 
-def signal_clusters(df: DataFrame, key: str, text: Column, limit: int = 6, pool: int = 500, **rules) -> DataFrame:
+def signal_clusters(df: DataFrame, key: str, text: Column, limit: int = 6, **rules) -> DataFrame:
     """Phrases of several rows: by rows, then words, then phrase; a phrase inside a chosen one of as many rows is left out.
 
-    The counts are distributed; the greedy choice runs over the best `pool` phrases.
+    The counts and their order are distributed; the greedy choice reads phrases in that order until it has `limit` of them, a partition of them at a time.
     """
     spark = df.sparkSession
     counts = df.select(key, F.explode(grams(text, **rules)).alias("phrase")).groupBy("phrase").agg(F.count_distinct(key).alias("n")).where("n > 1")
     words = F.size(F.split("phrase", " "))
-    ranked = counts.orderBy(F.desc("n"), words.desc(), "phrase").limit(pool).collect()  # `pool` rows
     chosen: list[tuple[str, int]] = []
-    for row in ranked:
-        if len(chosen) < limit and not any(f" {row.phrase} " in f" {p} " and n >= row.n for p, n in chosen):
+    for row in counts.orderBy(F.desc("n"), words.desc(), "phrase").toLocalIterator():
+        if not any(f" {row.phrase} " in f" {p} " and n >= row.n for p, n in chosen):
             chosen.append((row.phrase, row.n))
+        if len(chosen) == limit:
+            break
     return spark.createDataFrame(chosen, "phrase string, n long")
 
 
@@ -54,6 +55,22 @@ def one_hop(seeds: DataFrame, edges: DataFrame, cap: int) -> DataFrame:
     return found.withColumn("r", rank).where(F.col("r") <= cap).select("seed", "neighbour", "n")
 
 
-def shared_tokens(left: DataFrame, right: DataFrame, token: str) -> DataFrame:
-    """(left_key, right_key, n): rows that share tokens; equal tokens meet, rows never do."""
-    return left.select("left_key", token).distinct().join(right.select("right_key", token).distinct(), token).groupBy("left_key", "right_key").agg(F.count(F.lit(1)).alias("n"))
+def linked_classes(left: DataFrame, right: DataFrame, token: str) -> DataFrame:
+    """(left_key, class_id, links, shared) for each key of `left` (left_key, token): how many keys of `right` (right_key, token) share a token, and how many tokens all of them share.
+
+    Keys with the same tokens are one class, named by its smallest key; classes meet on tokens, keys never do, so a token that all
+    rows have costs its classes alone.
+    """
+
+    def classes(rows: DataFrame, key: str, name: str) -> DataFrame:
+        by_key = rows.groupBy(key).agg(F.array_sort(F.collect_set(token)).alias("tokens"))
+        return by_key.withColumn(name, F.xxhash64("tokens"))
+
+    l, r = classes(left, "left_key", "lc"), classes(right, "right_key", "rc")
+    heads = l.groupBy("lc").agg(F.first("tokens").alias("tokens"), F.min("left_key").alias("class_id"))
+    many = r.groupBy("rc").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
+    met = heads.select("lc", F.explode("tokens").alias("t")).join(many.select("rc", "n", F.explode("tokens").alias("t")), "t").groupBy("lc", "rc", "n").agg(F.count(F.lit(1)).alias("common"))
+    sums = met.groupBy("lc").agg(F.sum("n").alias("links"), F.sum(F.col("n") * F.col("common")).alias("shared"))
+    found = l.select("left_key", "lc").join(heads.select("lc", "class_id").join(sums, "lc", "left"), "lc")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return found.select("left_key", "class_id", zero("links"), zero("shared"))

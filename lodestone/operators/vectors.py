@@ -24,14 +24,40 @@ def valid(v: Column, dims: int, slack: float = 1e-3) -> Column:
     return (F.size(v) == dims) & finite & (F.abs(norm(v) - 1) <= slack)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, batch: int = 64) -> DataFrame:
-    """(query_id, key, distance): exact top k by 1 - dot, ties by key, for a stated list of queries.
+def query_blocks(queries: DataFrame, size: int) -> list[list]:
+    """Rows of `queries` (query_id, vector) in blocks of about `size`, read one block at a time: a block is all that the driver holds."""
+    blocks = -(-queries.count() // size)
+    at = F.pmod(F.xxhash64("query_id"), F.lit(max(blocks, 1)))
+    return (sorted(queries.where(at == i).collect(), key=lambda r: r.query_id) for i in range(blocks))
 
-    Each task multiplies its vectors with all queries and keeps k for each query, so only k rows for each task and query are shuffled. Queries
-    (query_id, vector) are the caller's list; they go to all tasks in blocks of `batch`.
+
+def distances(vectors: DataFrame, queries: DataFrame, columns: list[str], vector: str, block: int = 1024) -> DataFrame:
+    """(query_id, columns, distance): 1 - dot of each row with each query of a stated list, block after block; to be cut by rank at once."""
+    spark, out = vectors.sparkSession, None
+    for rows in query_blocks(queries, block):
+        probe = F.broadcast(spark.createDataFrame(rows, queries.select("query_id", "vector").schema))  # `block` rows
+        more = vectors.crossJoin(probe).select("query_id", *columns, (1 - dot(F.col(vector), F.col("vector"))).alias("distance"))
+        out = more if out is None else out.union(more)
+    return out if out is not None else vectors.select(F.lit(0).cast("long").alias("query_id"), *columns, F.lit(0.0).alias("distance")).limit(0)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:
+    """(query_id, key, distance): exact top k by 1 - dot, ties by key, for a stated list of queries (query_id, vector).
+
+    Queries go to all tasks in blocks of about `block`. Each task multiplies its vectors with a block and keeps k for each query, so only k rows
+    for each task and query are shuffled.
     """
-    rows = sorted((r.query_id, list(r.vector)) for r in queries.collect())  # the caller's own list
-    ids, matrix = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64)
+    found = None
+    for rows in query_blocks(queries, block):
+        more = _nearest(vectors, rows, key, vector, k)
+        found = more if found is None else found.union(more)
+    if found is None:
+        found = vectors.select(F.lit(0).cast("long").alias("query_id"), F.col(key).cast("long"), F.lit(0.0).alias("distance")).limit(0)
+    return cap_per_group(found, ["query_id"], [F.asc("distance"), F.asc(key)], k)
+
+
+def _nearest(vectors: DataFrame, rows: list, key: str, vector: str, k: int, step: int = 64) -> DataFrame:
+    ids, matrix = [r.query_id for r in rows], np.array([list(r.vector) for r in rows], np.float64)
 
     def run(batches):
         kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -40,8 +66,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: in
                 continue
             names = part.column(0).to_numpy(zero_copy_only=False)
             flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)
-            for at in range(0, len(ids), batch):
-                distance = 1 - matrix[at : at + batch] @ flat.T
+            for at in range(0, len(ids), step):
+                distance = 1 - matrix[at : at + step] @ flat.T
                 for i, d in enumerate(distance, at):
                     if i in kept:
                         d, n = np.concatenate([kept[i][0], d]), np.concatenate([kept[i][1], names])
@@ -52,8 +78,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: in
         for i, (d, n) in kept.items():
             yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(n), pa.int64()), pa.array(n, pa.int64()), pa.array(d, pa.float64())], names=["query_id", key, "distance"])
 
-    found = vectors.select(F.col(key).cast("long"), vector).mapInArrow(run, f"query_id long, {key} long, distance double")
-    return cap_per_group(found, ["query_id"], [F.asc("distance"), F.asc(key)], k)
+    return vectors.select(F.col(key).cast("long"), vector).mapInArrow(run, f"query_id long, {key} long, distance double")
 
 
 def encode(v: Column) -> Column:

@@ -46,11 +46,11 @@ def review_importance(spark, folder):
 
 
 @query("""
-WITH s AS (SELECT unnest(range(1705708800, 1706313600 + 1, 43200)) AS start), c AS (SELECT CAST(floor(epoch(ts) / 43200) * 43200 AS BIGINT) AS start, count(*) FILTER (WHERE event_type <> 'error') AS good, count(*) FILTER (WHERE event_type = 'error') AS bad FROM events WHERE user_id < 20 GROUP BY 1)
+WITH s AS (SELECT unnest(range(1705708800, 1706313600 + 1, 43200)) AS start), c AS (SELECT CAST(floor(epoch(ts) / 43200) * 43200 AS BIGINT) AS start, count(*) FILTER (WHERE event_type <> 'error') AS good, count(*) FILTER (WHERE event_type = 'error') AS bad FROM events GROUP BY 1)
 SELECT s.start, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad FROM s LEFT JOIN c USING (start) WHERE s.start > 1705708800""")
 def activity_trend(spark, folder):
     """A week in buckets of twelve hours, empty ones included."""
-    rows = table(spark, folder, "events").where("user_id < 20")
+    rows = table(spark, folder, "events")
     return events.trend(rows, "ts", F.col("event_type") != "error", datetime(2024, 1, 27, 3, tzinfo=timezone.utc), 168)
 
 
@@ -106,12 +106,17 @@ def topic_neighbours(spark, folder):
 
 
 @query("""
-WITH l AS (SELECT DISTINCT c_custkey AS left_key, t FROM (SELECT c_custkey, unnest([lower(c_mktsegment), 'n' || c_nationkey]) AS t FROM customer WHERE c_custkey < 300)), r AS (SELECT s_suppkey AS right_key, 'n' || s_nationkey AS t FROM supplier)
-SELECT left_key, right_key, count(*) AS n FROM l JOIN r USING (t) GROUP BY 1, 2""")
+WITH l AS (SELECT DISTINCT c_custkey AS left_key, t FROM (SELECT c_custkey, unnest([lower(c_mktsegment), 'n' || c_nationkey]) AS t FROM customer)),
+r AS (SELECT DISTINCT s_suppkey AS right_key, t FROM (SELECT s_suppkey, unnest(['n' || s_nationkey, CASE WHEN s_suppkey % 2 = 0 THEN 'building' ELSE 'machinery' END]) AS t FROM supplier)),
+k AS (SELECT left_key, array_to_string(list_sort(list(t)), ',') AS k FROM l GROUP BY 1)
+SELECT left_key, first AS class_id, coalesce(links, 0) AS links, coalesce(shared, 0) AS shared FROM k JOIN (SELECT k, min(left_key) AS first FROM k GROUP BY 1) USING (k)
+LEFT JOIN (SELECT left_key, count(DISTINCT right_key) AS links, count(*) AS shared FROM l JOIN r USING (t) GROUP BY 1) USING (left_key)""")
 def related_by_token(spark, folder):
+    """Customers and the suppliers that they share tokens with, as links of classes with equal tokens."""
     number = lambda c: F.concat(F.lit("n"), F.col(c))
-    left = table(spark, folder, "customer").where("c_custkey < 300").select(F.col("c_custkey").alias("left_key"), F.explode(F.array(F.lower("c_mktsegment"), number("c_nationkey"))).alias("t"))
-    return graph.shared_tokens(left, table(spark, folder, "supplier").select(F.col("s_suppkey").alias("right_key"), number("s_nationkey").alias("t")), "t")
+    left = table(spark, folder, "customer").select(F.col("c_custkey").alias("left_key"), F.explode(F.array(F.lower("c_mktsegment"), number("c_nationkey"))).alias("t"))
+    half = F.when(F.col("s_suppkey") % 2 == 0, "building").otherwise("machinery")
+    return graph.linked_classes(left, table(spark, folder, "supplier").select(F.col("s_suppkey").alias("right_key"), F.explode(F.array(number("s_nationkey"), half)).alias("t")), "t")
 
 
 @query()

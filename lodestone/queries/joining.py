@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators import graph
 from lodestone.queries import query
 from lodestone.sources.tables import table
 
@@ -93,16 +94,18 @@ def with_singleton(spark, folder):
 
 
 @query("""
-WITH t AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_partkey % 7 = 0),
-e AS (SELECT s_suppkey, unnest(['red', 'ring', 'widget', 'blue'][1 + s_suppkey % 4 : 1 + s_suppkey % 4]) AS w FROM supplier)
-SELECT DISTINCT s_suppkey, p_partkey FROM t JOIN e USING (w) WHERE length(w) >= 4""")
+WITH t AS (SELECT DISTINCT p_partkey, w FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part) WHERE length(w) >= 4),
+e AS (SELECT s_suppkey, unnest(['red', 'ring', 'widget', 'blue'][1 + s_suppkey % 4 : 1 + s_suppkey % 4]) AS w FROM supplier),
+k AS (SELECT p_partkey, array_to_string(list_sort(list(w)), ',') AS k FROM t GROUP BY 1)
+SELECT p_partkey, first AS class_id, coalesce(links, 0) AS links FROM k JOIN (SELECT k, min(p_partkey) AS first FROM k GROUP BY 1) USING (k)
+LEFT JOIN (SELECT p_partkey, count(DISTINCT s_suppkey) AS links FROM t JOIN e USING (w) GROUP BY 1) USING (p_partkey)""")
 def token_join(spark, folder):
-    """Rows that share a token of four characters or more; an equi-join on tokens, never on all pairs."""
+    """Rows that share a token of four characters or more, as classes of equal tokens with the number of their links."""
     words = F.explode(F.split("p_name", " ")).alias("w")
-    parts = table(spark, folder, "part").where("p_partkey % 7 = 0").select("p_partkey", words).where("length(w) >= 4").distinct()
+    parts = table(spark, folder, "part").select(F.col("p_partkey").alias("left_key"), words).where("length(w) >= 4")
     given = F.element_at(F.array(*map(F.lit, ("red", "ring", "widget", "blue"))), (1 + F.col("s_suppkey") % 4).cast("int"))
-    names = table(spark, folder, "supplier").select("s_suppkey", given.alias("w")).where("length(w) >= 4")
-    return parts.join(names, "w").select("s_suppkey", "p_partkey").distinct()
+    names = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("right_key"), given.alias("w")).where("length(w) >= 4")
+    return graph.linked_classes(parts, names, "w").select(F.col("left_key").alias("p_partkey"), "class_id", "links")
 
 
 @query("SELECT n_name, count(*) AS docs FROM nation JOIN documents ON contains(lower(text), lower(substr(n_name, 1, 3))) GROUP BY 1")

@@ -98,12 +98,12 @@ def citation_keys(spark, folder):
 
 
 @query("""
-WITH a AS (SELECT 'c:' || c_custkey AS near FROM customer WHERE c_custkey < 200), w AS (SELECT 'c:' || (c_custkey + 150) AS key FROM customer WHERE c_custkey < 120)
+WITH a AS (SELECT 'c:' || c_custkey AS near FROM customer), w AS (SELECT 'c:' || (c_custkey + 150) AS key FROM customer)
 SELECT key, near, distance FROM (SELECT key, near, levenshtein(key, near) AS distance, row_number() OVER (PARTITION BY key ORDER BY levenshtein(key, near), near) AS r FROM w, a WHERE levenshtein(key, near) <= 2) WHERE r = 1""")
 def nearest_allowed_keys(spark, folder):
     key = lambda add: F.concat(F.lit("c:"), F.col("c_custkey") + add).alias("key")
     customers = table(spark, folder, "customer")
-    return E.nearest_keys(customers.where("c_custkey < 120").select(key(150)), customers.where("c_custkey < 200").select(key(0))).withColumn("distance", F.col("distance").cast("long"))
+    return E.nearest_keys(customers.select(key(150)), customers.select(key(0))).withColumn("distance", F.col("distance").cast("long"))
 
 
 @query("""
@@ -117,10 +117,10 @@ def missing_concepts(spark, folder):
 
 
 @query("""
-SELECT user_id, CASE WHEN count(*) FILTER (WHERE event_id % 2 = 0) > 0 THEN strftime(max(ts) FILTER (WHERE event_id % 2 = 0), '%Y-%m-%dT%H:%M:%SZ') ELSE 'odd' END AS latest FROM events WHERE user_id < 40 GROUP BY 1""")
+SELECT user_id, CASE WHEN count(*) FILTER (WHERE event_id % 2 = 0) > 0 THEN strftime(max(ts) FILTER (WHERE event_id % 2 = 0), '%Y-%m-%dT%H:%M:%SZ') ELSE 'odd' END AS latest FROM events GROUP BY 1""")
 def latest_evidence(spark, folder):
     text = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise("odd")
-    return table(spark, folder, "events").where("user_id < 40").groupBy("user_id").agg(E.latest_in_group(text).alias("latest"))
+    return table(spark, folder, "events").groupBy("user_id").agg(E.latest_in_group(text).alias("latest"))
 
 
 @query(r"""
@@ -229,7 +229,12 @@ def markdown_sink(spark, folder):
     return tables.whole_texts(spark, out).select(F.explode(F.split(F.rtrim(F.regexp_replace("value", r"\n+$", "")), "\n")).alias("line")).where(F.startswith("line", F.lit("# "))).agg(F.count(F.lit(1)).alias("files_lines"))
 
 
-@query()
+@query("""
+WITH e AS (SELECT l_suppkey AS a, l_partkey + 1000000 AS b FROM lineitem), t AS (SELECT a AS seed, b AS neighbour FROM e UNION ALL SELECT b, a FROM e), g AS (SELECT seed, neighbour, count(*) AS n FROM t GROUP BY 1, 2),
+k AS (SELECT seed, neighbour, n, row_number() OVER (PARTITION BY seed ORDER BY n DESC, neighbour) AS r FROM g),
+s AS (SELECT p_partkey + 1000000 AS seed FROM part WHERE contains(p_name, 'red ring') ORDER BY p_retailprice DESC, p_partkey LIMIT 6),
+f AS (SELECT DISTINCT neighbour AS seed FROM k JOIN s USING (seed) WHERE r <= 2)
+SELECT p_brand, count(DISTINCT seed) AS through, sum(n) AS links FROM k JOIN f USING (seed) JOIN part ON neighbour = p_partkey + 1000000 WHERE r <= 5 GROUP BY 1""")
 def topic_map(spark, folder):
     """Seeds of a topic, their neighbours, and the brands that both lead to."""
     part = table(spark, folder, "part").withColumn("node", F.col("p_partkey") + 1000000)

@@ -90,37 +90,41 @@ def shadow_comparison(spark, folder):
 
 
 @query("""
-WITH c AS (SELECT doc_id, i * 100 AS a, substr(text, i * 100 + 1, 120) AS t FROM documents, (SELECT unnest([0, 1, 3]) AS i) WHERE length(text) >= 600)
-SELECT doc_id, substr(text, 1, 220) || chr(10) || substr(text, 301, 120) AS excerpt, 3::BIGINT AS n FROM documents WHERE length(text) >= 600""")
+WITH d AS (SELECT doc_id, text, length(text) AS m FROM documents WHERE text <> '')
+SELECT doc_id, substr(array_to_string(list_transform(range(0, greatest(1, CAST(ceil((m + 100) / 400.0) AS BIGINT))), lambda j: substr(text, greatest(400 * j - 100, 0) + 1, 400 * j + 220 - greatest(400 * j - 100, 0))), chr(10)), 1, 4000) AS excerpt,
+ len(list_filter(range(0, CAST(ceil(m / 100.0) AS BIGINT)), lambda i: i % 4 <> 2)) AS n FROM d""")
 def passages_joined(spark, folder):
-    """Overlapping passages of a parent become one excerpt."""
-    docs = table(spark, folder, "documents").where(F.length("text") >= 600)
-    parts = docs.select("doc_id", "text", F.explode(F.array(F.lit(0), F.lit(1), F.lit(3))).alias("i"))
-    chunks = parts.select("doc_id", (F.col("i") * 100).alias("a"), (F.col("i") * 100 + 120).alias("b"), F.substring(F.col("text"), F.col("i") * 100 + 1, F.lit(120)).alias("t"))
-    return fusion.joined_excerpts(chunks, "doc_id", "a", "b", "t", 4000)
+    """Overlapping passages of a parent become one excerpt: windows of 120 characters over whole texts, one in four missing."""
+    docs = table(spark, folder, "documents").where("text <> ''")
+    places = F.explode(F.filter(F.sequence(F.lit(0), F.ceil(F.length("text") / 100).cast("int") - 1), lambda i: i % 4 != 2))
+    parts = docs.select("doc_id", "text", places.alias("i"))
+    held = parts.select("doc_id", (F.col("i") * 100).alias("a"), (F.col("i") * 100 + 120).alias("b"), F.substring(F.col("text"), F.col("i") * 100 + 1, F.lit(120)).alias("t"))
+    return fusion.joined_excerpts(held, "doc_id", "a", "b", "t", 4000)
 
 
 @query("""
 SELECT query_id, vec_id, round(distance, 6) + 0.0 AS distance FROM (SELECT q.vec_id AS query_id, v.vec_id, 1 - list_sum(list_transform(range(1, 65), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(v.embedding[i] AS DOUBLE))) AS distance,
- row_number() OVER (PARTITION BY q.vec_id ORDER BY distance, v.vec_id) AS r FROM embeddings q, embeddings v WHERE q.vec_id < 8) WHERE r <= 10""")
+ row_number() OVER (PARTITION BY q.vec_id ORDER BY distance, v.vec_id) AS r FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0) WHERE r <= 10""")
 def nearest_vectors(spark, folder):
-    """Exact cosine top ten of eight given vectors."""
+    """Exact cosine top ten of every vector whose id is divisible by 50."""
     table_ = table(spark, folder, "embeddings")
-    wanted = table_.where("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    wanted = table_.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return vectors.nearest(table_, wanted, "vec_id", "embedding", 10).withColumn("distance", F.round("distance", 6) + F.lit(0.0))
 
 
 @query("""
-WITH d AS (SELECT v.vec_id, v.label, 1 - list_sum(list_transform(range(1, 65), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(v.embedding[i] AS DOUBLE))) AS distance FROM embeddings q, embeddings v WHERE q.vec_id = 3)
-SELECT vec_id, label, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) AS r FROM d) WHERE r <= 3 ORDER BY distance, vec_id LIMIT 20""")
+WITH d AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, 1 - list_sum(list_transform(range(1, 65), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(v.embedding[i] AS DOUBLE))) AS distance FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),
+c AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY distance, vec_id) AS r FROM d)
+SELECT query_id, vec_id, label, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS k FROM c WHERE r <= 3) WHERE k <= 20""")
 def diverse_vectors(spark, folder):
-    """At most three hits of each parent."""
+    """The best twenty hits of each query vector, at most three of each parent."""
     from lodestone.operators.windows import cap_per_group
 
     table_ = table(spark, folder, "embeddings")
-    probe = F.broadcast(table_.where("vec_id = 3").select(F.col("embedding").alias("q")))  # one row
-    near = table_.crossJoin(probe).select("vec_id", "label", (1 - vectors.dot(F.col("embedding"), F.col("q"))).alias("distance"))
-    return cap_per_group(near, ["label"], [F.asc("distance"), F.asc("vec_id")], 3).orderBy("distance", "vec_id").limit(20).withColumn("distance", F.round("distance", 6))
+    wanted = table_.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    near = vectors.distances(table_, wanted, ["vec_id", "label"], "embedding")
+    order = [F.asc("distance"), F.asc("vec_id")]
+    return cap_per_group(cap_per_group(near, ["query_id", "label"], order, 3), ["query_id"], order, 20).withColumn("distance", F.round("distance", 6))
 
 
 @query("SELECT vec_id, len(embedding) = 64 AND abs(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) - 1) <= 0.001 AS valid FROM embeddings")

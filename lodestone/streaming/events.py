@@ -15,8 +15,12 @@ INCIDENT = "user_id long, at timestamp, change string, errors long"
 
 
 def folder_for(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; a temporary one where none is set, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/lodestone-streams"
+    """A new path in the folder that the cluster shares; a temporary one on a single machine where none is set, as in tests."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
+        at = f"file://{tempfile.gettempdir()}/lodestone-streams"
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -39,15 +43,24 @@ def sessions(events: DataFrame, at: str, gap: str, *keys: str) -> DataFrame:
 
 
 def drained(result: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream until its input is used up; what its last batch left (complete), or all it gave (append)."""
+    """Run a stream until its input is used up; what its last batch left (complete), or all it gave (append).
+
+    Each batch has a folder of its own, which it writes anew if it runs again.
+    """
     spark = result.sparkSession
     out, state = folder_for(spark, "stream"), folder_for(spark, "checkpoint")
 
+    done: set[int] = set()
+
     def keep(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/{n}")
+        done.add(n)
 
     result.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    return spark.read.schema(result.schema).parquet(out)
+    if not done:
+        return spark.createDataFrame([], result.schema)
+    held = [max(done)] if mode == "complete" else sorted(done)
+    return spark.read.schema(result.schema).parquet(*(f"{out}/{n}" for n in held))
 
 
 def latest_by_key(stream: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
