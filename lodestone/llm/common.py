@@ -18,10 +18,12 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one where it is unset, as in tests."""
+    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one on a single machine where it is unset, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="lodestone-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -69,13 +71,14 @@ def bounded(docs: DataFrame) -> DataFrame:
     return docs
 
 
-#: Rows up to which a counted side is broadcast (some 10 MB); beyond it the join shuffles.
-BROADCAST_ROWS = 100_000
+#: Rows, and bytes as text, up to which a measured side is broadcast; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast if it is counted and small."""
-    return F.broadcast(df) if df.count() <= rows else df
+    """Marked for broadcast if it is measured and small; `df` should be stored or cheap."""
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("bytes")).first()
+    return F.broadcast(df) if size.rows <= rows and (size.bytes or 0) <= BROADCAST_BYTES else df
 
 
 def crc_remainder(divisor: int, doc_id: str = "doc_id"):

@@ -126,8 +126,13 @@ def fit(row: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.ndarr
     return machine
 
 
+def _said(docs: DataFrame):
+    """The table's own count of characters."""
+    return (F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")).alias("n_chars")
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> Machine:
-    """Fit on labelled rows outside the held-out fifth.
+    """Fit on labelled rows outside the held-out fifth; a table without n_chars has it unknown.
 
     `max_rows` bounds the sample: the labelled rows with the smallest hash of doc_id, read whole. Their ids (at most max_rows
     longs) are broadcast, their features come to the driver.
@@ -143,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> Machine
                 blobs = [pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(bounds * 4), pa.py_buffer(np.ascontiguousarray(x))]) for x in (feature.astype("<i4"), value.astype("<f4"))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), *blobs], names=["doc_id", "label", "feature", "value"])
 
-    found = bounded(docs).select("doc_id", "text", F.col("n_chars").cast("double")).join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, label int, feature binary, value binary")
+    found = bounded(docs).select("doc_id", "text", _said(docs)).join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, label int, feature binary, value binary")
     got = sorted(found.collect(), key=lambda x: (x.doc_id, x.feature, x.value))
     sizes = [len(x.feature) // 4 for x in got]
     feature = np.frombuffer(b"".join(x.feature for x in got), "<i4")
@@ -152,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> Machine
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """(doc_id, held_out, score) for each row of `docs` (doc_id, text, n_chars)."""
+    """(doc_id, held_out, score) for each row of `docs` (doc_id, text, n_chars); others are not read, and equal rows score alike."""
     weights = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.linear.astype(np.float32), machine.factors.astype(np.float32)))
 
     def run(batches):
@@ -162,4 +167,4 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
                 z = own.logits(*features(part))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(1 / (1 + np.exp(-z)), pa.float64())], names=["doc_id", "held_out", "score"])
 
-    return bounded(docs).select(F.col("doc_id").cast("long"), (F.coalesce(crc_remainder(5), F.lit(1)) == 0).alias("held_out"), "text", F.col("n_chars").cast("double")).mapInArrow(run, "doc_id long, held_out boolean, score double")
+    return bounded(docs).select(F.col("doc_id").cast("long"), (F.coalesce(crc_remainder(5), F.lit(1)) == 0).alias("held_out"), "text", _said(docs)).mapInArrow(run, "doc_id long, held_out boolean, score double")

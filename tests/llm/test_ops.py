@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontam, lines, lmscore, packing, pii, quality, rules, simhash, substring, tokens
+from lodestone.llm import common, decontam, lines, lmscore, packing, pii, quality, rules, simhash, substring, tokens
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -157,6 +157,13 @@ def test_quality(spark, docs, rows, empty):
     assert quality.train(empty, labels.limit(0)).bias == 0.0
 
 
+def test_quality_without_n_chars(spark):
+    held = spark.createDataFrame([(i, "SPAM " * (i % 2) + "some words of a text" * 3, i) for i in range(60)], "doc_id long, text string, score int")
+    machine = quality.train(held, held.selectExpr("doc_id", "1 - doc_id % 2 AS quality"))
+    got = {r.doc_id: r.score for r in quality.score(held, machine).collect()}
+    assert max(got[i] for i in range(1, 60, 2)) < min(got[i] for i in range(0, 60, 2))
+
+
 def test_machine_equals_all_pairs():
     rng = np.random.default_rng(0)
     m = quality.Machine(0.3, rng.normal(size=9), rng.normal(size=(9, 4)))
@@ -331,6 +338,23 @@ def test_packer_cuts_little():
 # 8
 
 
+def plain_posteriors(kinds, right=0.9, strength=0.5):
+    """Expectation-maximisation over documents, one by one, in arrays."""
+    votes = np.array([v for v, n in kinds.items() for _ in range(n)])
+    belief = np.where((votes == -1).any(1), 0.01, 0.99)
+    for _ in range(200):
+        good = belief.sum()
+        z = np.full(len(votes), np.log((good + 1) / (len(votes) - good + 1)))
+        for r in range(votes.shape[1]):
+            for vote, share in ((1, right), (-1, 1 - right)):
+                cast = votes[:, r] == vote
+                a = (belief[cast].sum() + strength * cast.sum() * share + share) / (good + 1)
+                b = ((1 - belief)[cast].sum() + strength * cast.sum() * (1 - share) + 1 - share) / (len(votes) - good + 1)
+                z[cast] += np.log(a / b)
+        belief = 1 / (1 + np.exp(-z))
+    return {tuple(v): p for v, p in zip(votes.tolist(), belief.tolist())}
+
+
 def test_rules(docs, rows, empty):
     got = {r.doc_id: r.rules for r in rules.judge(docs).collect()}
     assert len(got) == len(rows)
@@ -346,6 +370,11 @@ def test_rules(docs, rows, empty):
         if "SPAM" in t:
             assert not got[i].kept
     assert sum(r.kept for r in got.values()) > len(rows) / 3
+    kinds = Counter(tuple(r.votes) for r in got.values())
+    chance = plain_posteriors(kinds)
+    for r in got.values():
+        assert r.posterior == pytest.approx(chance[tuple(r.votes)], abs=1e-4)
+        assert r.kept == (not r.base_failed and r.posterior >= 0.5)
     assert rules.judge(empty).count() == 0
 
 
@@ -396,6 +425,17 @@ def test_decontamination(spark, docs, rows, empty):
     assert decontam.phrase_matches(docs, bench.limit(0)).where("size(hits) > 0").count() == 0
 
 
+def test_decontamination_without_broadcasts(spark, docs, rows, monkeypatch):
+    """Beyond the bytes that may be broadcast the joins shuffle, with the same hits."""
+    bench = spark.createDataFrame([(1, " ".join(words(rows[6][1])[5:40]))], "item_id long, text string")
+    hits = lambda: {(r.doc_id, str(r.hits)) for r in decontam.phrase_matches(docs, bench).collect()}
+    want = hits()
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 10)
+    asked = []
+    monkeypatch.setattr(F, "broadcast", lambda df: asked.append(df))
+    assert hits() == want and not asked
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x y z beta"), (2, "alpha beta"), (3, "alpha " + "x " * 60 + "beta")], "doc_id long, text string")
     bench = spark.createDataFrame([(9, "alpha beta")], "item_id long, text string")
@@ -406,18 +446,52 @@ def test_proximity(spark):
 # 10
 
 
+def lattice_scores(rows, held):
+    """Weights from the vocabulary's own segmentation of the training words, and each word's sum over all segmentations."""
+    sp = lmscore.processor(lmscore.vocabulary_path())
+    said = {i: (t or "").encode().lower().decode().split() if (t or "").isascii() else [w.decode() for w in (t or "").encode().lower().split()] for i, t in rows}
+    counts = np.full(sp.get_piece_size(), 0.5)
+    for i, w in said.items():
+        if not held[i]:
+            for piece in (p for x in w for p in sp.encode(x)):
+                counts[piece] += 1
+    ends = sum(not h for h in held.values())
+    total = counts.sum() + ends + 0.5
+    known = {sp.id_to_piece(k): counts[k] / total for k in range(len(counts)) if not (sp.is_byte(k) or sp.is_control(k) or sp.is_unknown(k))}
+    byte = {int(sp.id_to_piece(k)[3:5], 16): counts[k] / total for k in range(len(counts)) if sp.is_byte(k)}
+    longest, memo = max(map(len, known)), {}
+
+    def log_prob(word):
+        if word not in memo:
+            text = "\u2581" + word
+            inward = [0.0] * len(text) + [1.0]
+            scale = 0.0
+            for k in range(len(text) - 1, -1, -1):
+                inward[k] = sum(known.get(text[k:e], 0.0) * inward[e] for e in range(k + 1, min(len(text), k + longest) + 1))
+                if text[k] not in known:
+                    inward[k] += math.prod(byte[b] for b in text[k].encode()) * inward[k + 1]
+                if inward[k] < 1e-200:
+                    inward = [x * 1e200 for x in inward]
+                    scale -= 200
+            memo[word] = math.log10(inward[0]) + scale
+        return memo[word]
+
+    return {i: sum(map(log_prob, w)) + math.log10((ends + 0.5) / total) for i, w in said.items()}
+
+
 def test_likelihood(docs, rows, empty):
     got = {r.doc_id: r for r in lmscore.log_likelihood(docs).collect()}
     said = {i: [w for w in (t or "").encode().lower().split()] + [b"\n"] for i, t in rows}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in said}
     c = Counter(w for i in said if not held[i] for w in said[i])
     n, v = sum(c.values()), len(c)
+    want = lattice_scores(rows, held)
     assert len(got) == len(rows)
     for i, w in said.items():
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(w), sum(x in c for x in w), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w))
-        assert r.score < 0
+        assert r.score == pytest.approx(want[i], rel=1e-9)
     copies = {}
     for i, t in rows:
         assert copies.setdefault(t or "", got[i].score) == got[i].score
