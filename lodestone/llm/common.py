@@ -59,7 +59,7 @@ def wide(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 #: Bytes of rows that go to a Python worker at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded(docs: DataFrame) -> DataFrame:

@@ -22,6 +22,8 @@ from lodestone.llm.common import Rolling, bounded, materialise, mix, pieces, sig
 from lodestone.llm.probing import search
 from lodestone.llm.simhash import components, plan
 
+#: Partners that one task reads to find the nodes among them.
+IN_TASK = 4_000_000
 #: Bytes of sets in a block.
 CELL_BYTES = 16 << 20
 #: Documents that are read again by a broadcast of their ids, 8 MB; beyond it the join shuffles.
@@ -97,7 +99,20 @@ def sets(docs: DataFrame, shingle: int) -> DataFrame:
 
 def whole_sets(docs: DataFrame, held: DataFrame, found: DataFrame, shingle: int) -> DataFrame:
     """(node, hashes) of all nodes in `found` (a, held), read again from the first document of each."""
-    nodes = materialise(found.select(F.col("a").alias("node")).union(found.select(F.explode("held"))).distinct(), "nodes")
+
+    def once(batches):
+        """Each task's nodes, so that lists of partners are never written out as pairs."""
+        seen = np.zeros(0, np.int64)
+        for batch in batches:
+            lists = batch.column("held").flatten().to_numpy(zero_copy_only=False)
+            seen = np.union1d(seen, np.concatenate([batch.column("a").to_numpy(zero_copy_only=False), lists]))
+            if len(seen) > KNOWN:
+                yield pa.RecordBatch.from_arrays([pa.array(seen)], names=["node"])
+                seen = np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(seen)], names=["node"])
+
+    total = found.agg(F.sum(F.size("held").cast("long"))).first()[0] or 0
+    nodes = materialise(found.select("a", "held").coalesce(total // IN_TASK + 1).mapInArrow(once, "node long").distinct(), "nodes")
     ids = materialise(held.join(nodes, "node", "left_semi").select(F.col("first").alias("_id")).distinct(), "ids")
     texts = docs.select("doc_id", "text").join(small(ids, KNOWN), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
     return materialise(sets(texts, shingle).join(small(nodes, KNOWN), "node", "left_semi").dropDuplicates(["node"]), "sets")
