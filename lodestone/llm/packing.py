@@ -74,8 +74,8 @@ class Packer:
         self.open = {}
 
     def finish(self) -> None:
-        """Close what waits: full sequences first, then powers of two."""
-        waiting = self.waiting()
+        """Close what waits, long pieces first: full sequences, then powers of two."""
+        waiting = sorted(self.waiting(), key=lambda piece: -len(piece[2]))
         left = sum(len(p[2]) for p in waiting)
         room, held = 0, []
         for doc_id, start, ids, total in waiting:
