@@ -34,18 +34,34 @@ def _count(words: Column, term: str) -> Column:
     return F.size(F.filter(words, lambda w: F.startswith(w, F.lit(term))))
 
 
-def scored(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
-    """(key, n_tokens, tf: array for the terms, score): BM25 over all documents with any of the terms; one scan and one row of statistics."""
-    base = docs.select(key, tokens(F.col(text)).alias("words")).select(key, F.size("words").alias("n_tokens"), F.array(*(_count(F.col("words"), t) for t in terms)).alias("tf"))
-    stats = base.agg(F.count(F.lit(1)).alias("N"), F.avg("n_tokens").alias("mean"), *(F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))))
-    joined = base.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))
+def _hit(text: str, terms: list[str]) -> Column:
+    """(n_tokens, tf: array for the terms) of a text, its words taken once."""
+    return F.transform(F.array(tokens(F.col(text))), lambda w: F.struct(F.size(w).alias("n_tokens"), F.array(*(_count(w, t) for t in terms)).cast("array<int>").alias("tf")))[0]
 
+
+def _statistics(docs: DataFrame, text: str, terms: list[str]) -> DataFrame:
+    """One row: N, mean length and, for each term, the documents that have it."""
+    hits = docs.select(_hit(text, terms).alias("hit"))
+    return hits.agg(F.count(F.lit(1)).alias("N"), F.avg("hit.n_tokens").alias("mean"), *(F.count_if(F.col("hit.tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))))
+
+
+def _bm25(terms: list[str]) -> Column:
     def part(i: int) -> Column:
         idf = F.greatest(F.log((F.col("N") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(1e-6))
         tf = F.col("tf")[i]
         return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_tokens") / F.col("mean")))
 
-    return joined.select(key, "n_tokens", "tf", reduce(lambda a, b: a + b, (part(i) for i in range(len(terms)))).alias("score"))
+    return reduce(lambda a, b: a + b, (part(i) for i in range(len(terms))), F.lit(0.0))
+
+
+def scored(docs: DataFrame, key: str, text: str, terms: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, columns to keep, n_tokens, tf: array for the terms, score): BM25 over all documents with any of the terms; one scan and one row of statistics.
+
+    The outer explode keeps the filter above the words, so that they are taken once for each text.
+    """
+    some = F.explode_outer(F.filter(F.array(_hit(text, terms)), lambda h: F.exists(h["tf"], lambda x: x > 0))).alias("hit")
+    base = docs.select(key, *keep, some).where("hit is not null").select(key, *keep, "hit.n_tokens", "hit.tf")
+    return base.crossJoin(F.broadcast(_statistics(docs, text, terms))).select(key, *keep, "n_tokens", "tf", _bm25(terms).alias("score"))
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -68,28 +84,29 @@ def search_postings(index: DataFrame, key: str, terms: list[str], total: int, me
 def cascade(docs: DataFrame, key: str, text: str, query: str, recency: str, limit: int = 10) -> DataFrame:
     """(key, stage, score), at most `limit` rows: exact key, else all terms, else substring, else two or more terms.
 
-    Exact and ranked rows go together; the later stages count only where nothing came before. Each stage keeps its best
-    `limit` rows, so that the last step sees a handful.
+    Exact and ranked rows go together; the later stages count only where nothing came before. One scan finds the stages of each row,
+    and tasks keep the best `limit` rows of each stage before the shuffle, so that the last step sees a handful.
     """
     terms, loose = query_terms(query), relaxed_terms(query)
     low = F.lower(text)
-    ranked = scored(docs, key, text, terms).where(F.forall("tf", lambda x: x > 0)).select(key, "score")
     some = reduce(lambda a, b: a + b, (F.when(F.contains(low, F.lit(t)), 1).otherwise(0) for t in loose), F.lit(0))
-    latest = docs.select(key, recency, text)
-
-    def stage(df: DataFrame, number: int, order: list[Column]) -> DataFrame:
-        return df.select(key, F.lit(number).alias("stage"), "score", recency).orderBy(*order).limit(limit)
-
-    recent = [F.desc(recency), F.asc(key)]
-    exact = stage(latest.where(F.col(key).cast("string") == query).withColumn("score", F.lit(0.0)), 1, recent)
-    full = stage(ranked.join(docs.select(key, recency), key), 2, [F.desc("score"), *recent])
-    like = stage(latest.where(F.contains(low, F.lit(query.lower()))).withColumn("score", F.lit(0.0)), 3, recent)
-    relaxed = stage(latest.where(some >= min(2, len(loose))).withColumn("score", some.cast("double")), 4, [F.desc("score"), *recent])
-    found = exact.unionByName(full).unionByName(like).unionByName(relaxed)
-    first = found.select(F.min(F.greatest(F.col("stage"), F.lit(2))).alias("first"))
-    kept = found.crossJoin(F.broadcast(first)).where(F.greatest(F.col("stage"), F.lit(2)) == F.col("first"))
-    once = Window.partitionBy(key).orderBy("stage")
-    return kept.withColumn("_r", F.row_number().over(once)).where("_r = 1").orderBy("stage", F.desc("score"), *recent).limit(limit).select(key, "stage", "score")
+
+    def stages(h: Column) -> Column:
+        full = F.exists(h["tf"], lambda x: x > 0) & F.forall(h["tf"], lambda x: x > 0)
+        each = (h["exact"], full, h["like"], h["some"] >= min(2, len(loose)))
+        return F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(i)) for i, c in enumerate(each, 1))), lambda x: x.isNotNull())
+
+    exact, like = F.col(key).cast("string") == query, F.contains(low, F.lit(query.lower()))
+    row = F.transform(F.array(_hit(text, terms)), lambda h: F.struct(h["n_tokens"].alias("n_tokens"), h["tf"].alias("tf"), exact.alias("exact"), like.alias("like"), some.alias("some")))
+    each = F.explode_outer(F.flatten(F.transform(row, lambda h: F.transform(stages(h), lambda i: F.struct(i.alias("stage"), h["n_tokens"].alias("n_tokens"), h["tf"].alias("tf"), h["some"].alias("some")))))).alias("h")
+    found = docs.select(key, recency, each).where("h is not null").select(key, recency, "h.*").crossJoin(F.broadcast(_statistics(docs, text, terms)))
+    score = F.when(F.col("stage") == 2, _bm25(terms)).when(F.col("stage") == 4, F.col("some").cast("double")).otherwise(0.0)
+    best = [F.desc("score"), F.desc(recency), F.asc(key)]
+    top = found.select(key, recency, "stage", score.alias("score")).withColumn("_n", F.row_number().over(Window.partitionBy("stage").orderBy(*best))).where(F.col("_n") <= limit)
+    group = F.greatest(F.col("stage"), F.lit(2))  # from here on four times `limit` rows at most
+    kept = top.withColumn("_first", F.min(group).over(Window.partitionBy(F.lit(0)))).where(group == F.col("_first"))
+    once = kept.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("stage"))).where("_r = 1")
+    return once.orderBy("stage", *best).limit(limit).select(key, "stage", "score")
 
 
 def term_score(title: Column, tags: Column, body: Column, terms: list[str], phrase: str) -> Column:
