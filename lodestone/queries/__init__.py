@@ -20,4 +20,4 @@ def query(sql: str | None = None):
     return add
 
 
-from lodestone.queries import aggregation, corpus, joining, policies, scanning, searching, streams, windowing  # noqa: E402,F401
+from lodestone.queries import aggregation, corpus, joining, policies, retrieval, scanning, searching, streams, windowing  # noqa: E402,F401
