@@ -188,9 +188,9 @@ def author_entities(rows: DataFrame, handle: str, name: str) -> DataFrame:
     rows = rows.where((given != "") | (shown != "")).select(key.alias("entity_key"), given.alias("h"), shown.alias("n"))
     marks = F.array("n", "h", F.lower("h"), F.when(F.col("h") != "", F.concat(F.lit("@"), "h")), F.when(F.col("h") != "", F.concat(F.lit("@"), F.lower("h"))))
     one = rows.groupBy("entity_key", "h", "n").agg(F.count(F.lit(1)).alias("refs"), F.first(marks).alias("marks"))
-    label = F.when(F.col("n") != "", F.col("n")).otherwise(F.concat(F.lit("@"), F.lower("h")))
+    label = F.coalesce(F.min(F.when(F.col("n") != "", F.col("n"))), F.min(F.concat(F.lit("@"), F.lower("h"))))
     every = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.filter("marks", lambda m: m.isNotNull() & (m != ""))))))  # spellings of one author
-    return one.groupBy("entity_key").agg(F.min(label).alias("name"), every.alias("aliases"), F.sum("refs").alias("refs"))
+    return one.groupBy("entity_key").agg(label.alias("name"), every.alias("aliases"), F.sum("refs").alias("refs"))
 
 
 def site_entities(pages: DataFrame, url: str, code_host: str) -> DataFrame:
