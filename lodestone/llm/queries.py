@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontam, lines, lmscore, packing, pii, quality, rules, simhash, substring, tokens
+from lodestone.llm import conversations, decontam, infilling, lengths, lines, lmscore, packing, pii, quality, rules, simhash, substring, tokens
 from lodestone.llm.common import documents
 
 QUERIES: dict = {}
@@ -124,6 +124,28 @@ def op5_segment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", zero("n_lines"), zero("n_removed"), zero("n_near"), listed(number).alias("removed"), listed(head).alias("classes"))
 
 
+@query
+def op11_signature_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits of all conversations, damaged as the contract says and repaired."""
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    found, _ = conversations.repair(conversations.damaged(table))
+    return conversations.with_all(found, table)
+
+
+@query
+def op12_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents."""
+    return lengths.token_counts(documents(spark, sf_dir))
+
+
+@query
+def op13_automaton_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents for infilling, and back."""
+    found = infilling.fill_in_middle(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "fim.*")
+    back = F.sha2(infilling.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return found.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), F.sha2("output", 256).alias("output_sha256"), back)
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py."""
@@ -160,3 +182,46 @@ g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE equal OR alike)
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_near, 0) AS n_near, coalesce(removed, '') AS removed, coalesce(classes, '') AS classes
 FROM documents LEFT JOIN g USING (doc_id)
 """
+
+#: crc32 bit by bit; the cheapest edits by recursion from the last row of each conversation, a cost and the edits for each of the four states.
+ORACLES["op11_signature_repair"] = r"""
+WITH RECURSIVE k AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+c AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))) % 20 AS kind FROM k),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+  CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text, unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM c WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM d),
+f AS (SELECT *, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, left(role, 1) AS head,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+r AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM f),
+s AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+  count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE i > 1 AND before || head NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+v AS (
+  SELECT conv_id, n AS i, [{'c': 0, 'a': ''}, {'c': 4, 'a': 'II'}, {'c': 2, 'a': 'I'}, {'c': 0, 'a': ''}] AS b FROM s
+  UNION ALL
+  SELECT conv_id, i, [list_min([w[1], {'c': w[3].c + 2, 'a': 'I' || w[3].a}, {'c': w[4].c + 4, 'a': 'II' || w[4].a}]), list_min([w[2], {'c': w[3].c + 2, 'a': 'I' || w[3].a}, {'c': w[4].c + 4, 'a': 'II' || w[4].a}]),
+    list_min([w[3], {'c': w[4].c + 2, 'a': 'I' || w[4].a}]), list_min([w[4], {'c': w[3].c + 2, 'a': 'I' || w[3].a}])] AS b
+  FROM (SELECT v.conv_id, v.i - 1 AS i, list_transform([1, 2, 3, 4], lambda q: list_min([{'c': b[q].c + 3, 'a': 'D' || b[q].a},
+      {'c': b[CASE q WHEN 3 THEN 4 ELSE 3 END].c + CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000 WHEN fault = 'truncated' THEN 3 ELSE 2 END, 'a': 'R' || b[CASE q WHEN 3 THEN 4 ELSE 3 END].a},
+      CASE WHEN q = 1 AND head = 's' THEN {'c': b[2].c + CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000 WHEN fault = 'truncated' THEN 1 ELSE 0 END, 'a': 'K' || b[2].a}
+           WHEN q <> 3 AND head = 'u' OR q = 3 AND head = 'a' THEN {'c': b[CASE q WHEN 3 THEN 4 ELSE 3 END].c + CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000 WHEN fault = 'truncated' THEN 1 ELSE 0 END, 'a': 'K' || b[CASE q WHEN 3 THEN 4 ELSE 3 END].a}
+           ELSE {'c': 1000000000, 'a': ''} END])) AS w
+    FROM v JOIN r ON r.conv_id = v.conv_id AND r.i = v.i)),
+best AS (SELECT conv_id, b[1].c AS cost, b[1].a AS audit FROM v WHERE i = 0),
+e AS (SELECT conv_id, unnest(string_split(audit, '')) AS edit, unnest(range(1, length(audit) + 1)) AS j, length(replace(audit, 'D', '')) % 2 AS odd FROM best WHERE audit <> ''),
+p AS (SELECT *, count(*) FILTER (WHERE edit <> 'I') OVER (PARTITION BY conv_id ORDER BY j) AS i, count(*) FILTER (WHERE edit <> 'D') OVER (PARTITION BY conv_id ORDER BY j) AS nth FROM e),
+t AS (SELECT p.conv_id, string_agg(CASE edit WHEN 'K' THEN role ELSE CASE WHEN (nth + odd) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE edit WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS whole
+  FROM p LEFT JOIN r ON r.conv_id = p.conv_id AND r.i = p.i AND edit <> 'I' WHERE edit <> 'D' GROUP BY p.conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN s USING (conv_id) LEFT JOIN best USING (conv_id) LEFT JOIN t USING (conv_id)
+"""
+
+ORACLES["op13_automaton_infilling"] = """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS x FROM documents),
+g AS (SELECT *, CAST('0x' || x[1:8] AS BIGINT) % (n + 1) AS a, CAST('0x' || x[9:16] AS BIGINT) % (n + 1) AS b, CAST('0x' || x[17:24] AS BIGINT) AS c, CAST('0x' || x[25:32] AS BIGINT) AS d FROM h),
+f AS (SELECT *, least(a, b) AS low, greatest(a, b) AS high, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR c % 100 >= 90 THEN 'plain' WHEN d % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+p AS (SELECT *, substring(text, 1, low) AS prefix, substring(text, low + 1, high - low) AS middle, substring(text, high + 1) AS suffix FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN low END AS prefix_chars, CASE WHEN form <> 'plain' THEN high - low END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p
+"""
