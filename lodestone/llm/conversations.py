@@ -280,7 +280,7 @@ def _down(pieces: DataFrame, state: Column, end: Column) -> DataFrame:
 
 
 def edited(cut: DataFrame, fan: int = 64) -> tuple[DataFrame, DataFrame]:
-    """Two stored tables: (conv_id, part, seq, state, edits, letters, held) of each block, and (conv_id, cost, illegal, end, parts, last_part) of each conversation.
+    """Two stored tables: (conv_id, part, seq, parts, state, edits, letters, held) of each block, and (conv_id, cost, illegal, end, parts, last_part) of each conversation.
 
     Pieces of one task's part of a conversation meet `fan` at a time; then those of its parts, of which there are as many as tasks at most.
     """
@@ -296,9 +296,9 @@ def edited(cut: DataFrame, fan: int = 64) -> tuple[DataFrame, DataFrame]:
     for pieces in reversed(levels):
         states = _down(meet(pieces.drop("cost", "end"), states, key), F.col("state"), F.col("end"))
     way = F.element_at("edits", (4 * F.col("state") + F.col("end") + 1).cast("int")).alias("edits")
-    each = meet(solved, states, key).select(*key, "state", way, "letters", "held")
     ends = whole.select("conv_id", "cost", "illegal", "end", F.size(F.array_distinct(F.transform("kids", lambda k: k["part"]))).alias("parts"), F.element_at("kids", -1)["part"].alias("last_part"))
-    return materialise(each, "edits"), ends
+    each = meet(meet(solved, states, key), ends.select("conv_id", "parts"), ["conv_id"])
+    return materialise(each.select(*key, "parts", "state", way, "letters", "held"), "edits"), ends
 
 
 def audits(each: DataFrame, ends: DataFrame) -> DataFrame:
@@ -318,19 +318,18 @@ def repaired_rows(rows: DataFrame, each: DataFrame, ends: DataFrame) -> DataFram
             found = [replay(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("letters", "state", "edits")))]
             item = pa.struct([("place", pa.int32()), ("given", pa.string()), ("row", pa.int32())])
             items = pa.array([[{"place": p, "given": g, "row": r} for p, g, r in f] for f in found], pa.list_(item))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "part", "seq", "held")), items], names=["conv_id", "part", "seq", "held", "items"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "part", "seq", "parts", "held")), items], names=["conv_id", "part", "seq", "parts", "held", "items"])
 
-    steps = each.mapInArrow(run, f"conv_id {kind['conv_id']}, part int, seq long, held {kind['held']}, items array<struct<place:int,given:string,row:int>>")
-    steps = steps.select("conv_id", "part", "seq", "held", F.explode("items").alias("i"))
-    steps = steps.select("conv_id", "part", "seq", "i.place", "i.given", F.when(F.col("i.row") >= 0, F.get("held", F.col("i.row"))).alias("k"))
-    wanted = steps.where("k is not null").select("conv_id", "part", "seq", "place", "given", "k.turn", "k.role", "k.dig")
+    steps = each.mapInArrow(run, f"conv_id {kind['conv_id']}, part int, seq long, parts int, held {kind['held']}, items array<struct<place:int,given:string,row:int>>")
+    steps = steps.select("conv_id", "part", "seq", "parts", "held", F.explode("items").alias("i"))
+    steps = steps.select("conv_id", "part", "seq", "parts", "i.place", "i.given", F.when(F.col("i.row") >= 0, F.get("held", F.col("i.row"))).alias("k"))
+    wanted = steps.where("k is not null").select("conv_id", "part", "seq", "parts", "place", "given", "k.turn", "k.role", "k.dig")
     texts = rows.withColumn("dig", F.sha2("text", 256)).groupBy("conv_id", "turn", "role", "dig").agg(F.first("text").alias("text"))
-    kept = meet(wanted, texts, ["conv_id", "turn", "role", "dig"]).select("conv_id", "part", "seq", "place", F.coalesce("given", "role").alias("role"), "text")
-    added = steps.where("k is null").select("conv_id", "part", "seq", "place", F.col("given").alias("role"), F.lit("").alias("text"))
+    kept = meet(wanted, texts, ["conv_id", "turn", "role", "dig"]).select("conv_id", "part", "seq", "place", "parts", F.coalesce("given", "role").alias("role"), "text")
+    added = steps.where("k is null").select("conv_id", "part", "seq", "place", "parts", F.col("given").alias("role"), F.lit("").alias("text"))
     after = F.array(*(F.array(*(F.struct(F.lit(i).alias("place"), F.lit(role).alias("role")) for i, role in enumerate(roles))) for roles in (["user"], ["user", "assistant"], ["assistant"], ["user"])))
-    tail = ends.where("end in (1, 2)").select("conv_id", F.col("last_part").alias("part"), F.lit(2**62).alias("seq"), F.inline(F.element_at(after, F.col("end") + 1)))
-    every = kept.unionByName(added).unionByName(tail.withColumn("text", F.lit("")))
-    return meet(every, ends.select("conv_id", "parts"), ["conv_id"]).select("conv_id", "part", "seq", "place", "parts", "role", "text")
+    tail = ends.where("end in (1, 2)").select("conv_id", F.col("last_part").alias("part"), F.lit(2**62).alias("seq"), "parts", F.inline(F.element_at(after, F.col("end") + 1)))
+    return kept.unionByName(added).unionByName(tail.withColumn("text", F.lit("")))
 
 
 def digests(rows: DataFrame, blob_bytes: int = 1 << 20) -> DataFrame:
