@@ -56,6 +56,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: in
     return cap_per_group(found, ["query_id"], [F.asc("distance"), F.asc(key)], k)
 
 
+def best_rows(query: np.ndarray, rows: np.ndarray, keys: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(indices, distances) of the k nearest rows, ties by key. `rough` distances come from a block product, whose last bits depend on a row's
+    place there; rows as near as the k-th or nearly so are measured again, each by itself, so that equal vectors are equally far."""
+    if len(rough) > k:
+        near = np.flatnonzero(rough <= np.partition(rough, k - 1)[k - 1] + 1e-9)
+    else:
+        near = np.arange(len(rough))
+    distance = 1 - (rows[near] * query).sum(1)
+    order = np.lexsort((keys[near], distance))[:k]
+    return near[order], distance[order]
+
+
 def _nearest(vectors: DataFrame, rows: list, key: str, vector: str, k: int, step: int = 64) -> DataFrame:
     ids, matrix = [r.query_id for r in rows], np.array([list(r.vector) for r in rows], np.float64)
 
@@ -67,14 +79,14 @@ def _nearest(vectors: DataFrame, rows: list, key: str, vector: str, k: int, step
             names = part.column(0).to_numpy(zero_copy_only=False)
             flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)
             for at in range(0, len(ids), step):
-                distance = 1 - matrix[at : at + step] @ flat.T
-                for i, d in enumerate(distance, at):
+                for i, rough in enumerate(1 - matrix[at : at + step] @ flat.T, at):
+                    rows, d = best_rows(matrix[i], flat, names, rough, k)
+                    n = names[rows]
                     if i in kept:
-                        d, n = np.concatenate([kept[i][0], d]), np.concatenate([kept[i][1], names])
-                    else:
-                        n = names
-                    order = np.lexsort((n, d))[:k]
-                    kept[i] = (d[order], n[order])
+                        d, n = np.concatenate([kept[i][0], d]), np.concatenate([kept[i][1], n])
+                        order = np.lexsort((n, d))[:k]
+                        d, n = d[order], n[order]
+                    kept[i] = (d, n)
         for i, (d, n) in kept.items():
             yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(n), pa.int64()), pa.array(n, pa.int64()), pa.array(d, pa.float64())], names=["query_id", key, "distance"])
 

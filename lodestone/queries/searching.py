@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import fusion, search, vectors
+from lodestone.operators import fusion, search, vectorindex, vectors
 from lodestone.queries import query
 from lodestone.sources.tables import table
+from lodestone.streaming.events import folder_for
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
@@ -127,6 +128,30 @@ def diverse_vectors(spark, folder):
     return cap_per_group(cap_per_group(near, ["query_id", "label"], order, 3), ["query_id"], order, 20).withColumn("distance", F.round("distance", 6))
 
 
+@query("""
+SELECT query_id, vec_id, round(distance, 6) + 0.0 AS distance FROM (SELECT q.vec_id AS query_id, v.vec_id, 1 - list_sum(list_transform(range(1, 65), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(v.embedding[i] AS DOUBLE))) AS distance,
+ row_number() OVER (PARTITION BY q.vec_id ORDER BY distance, v.vec_id) AS r FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND v.vec_id % 11 <> 0) WHERE r <= 10""")
+def index_search_exact(spark, folder):
+    """The ten nearest by an index that is behind its table: rows are newer (one in five), changed (one in seven) and gone (one in eleven)."""
+    table_ = table(spark, folder, "embeddings")
+    old = F.when(F.col("vec_id") % 7 == 0, F.reverse("embedding")).otherwise(F.col("embedding"))
+    index = vectorindex.build(table_.where("vec_id % 5 <> 0").select("vec_id", old.alias("embedding")), "vec_id", "embedding", folder_for(spark, "index"))
+    wanted = table_.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = vectorindex.search(index, table_.where("vec_id % 11 <> 0"), "vec_id", "embedding", wanted, 10, exact=True)
+    return found.withColumn("distance", F.round("distance", 6) + F.lit(0.0))
+
+
+@query()
+def index_recall(spark, folder):
+    """How many of the ten nearest the index finds without the exact step, for every vector whose id is divisible by 50."""
+    table_ = table(spark, folder, "embeddings")
+    index = vectorindex.build(table_, "vec_id", "embedding", folder_for(spark, "index"))
+    wanted = table_.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    true = vectors.nearest(table_, wanted, "vec_id", "embedding", 10)
+    found = vectorindex.search(index, table_, "vec_id", "embedding", wanted, 10).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    return true.join(found, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.count("hit").alias("found"), F.count(F.lit(1)).alias("wanted"))
+
+
 @query("SELECT vec_id, len(embedding) = 64 AND abs(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) - 1) <= 0.001 AS valid FROM embeddings")
 def valid_vectors(spark, folder):
     return table(spark, folder, "embeddings").select("vec_id", vectors.valid(F.col("embedding"), 64).alias("valid"))
