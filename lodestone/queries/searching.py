@@ -103,6 +103,69 @@ def passages_joined(spark, folder):
     return fusion.joined_excerpts(held, "doc_id", "a", "b", "t", 4000)
 
 
+_PASSAGES = """
+WITH d AS (SELECT doc_id AS parent, coalesce(text, '') AS whole, doc_id % 17 = 0 AS protected FROM documents),
+c AS (SELECT parent, parent || ':' || i AS chunk, i AS ordinal, i // 4 AS section, 350 * i AS a, least(350 * i + 400, length(whole)) AS b, substr(whole, 350 * i + 1, 400) AS t, protected
+  FROM (SELECT *, unnest(range(CAST(ceil(length(whole) / 350.0) AS BIGINT))) AS i FROM d WHERE whole <> '')),
+n AS (SELECT *, (length(t) - length(replace(lower(t), 'that', ''))) // 4 AS hits FROM c),
+one AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY hits DESC, ordinal) AS r, sum(hits) OVER (PARTITION BY parent) AS total FROM n),
+lex AS (SELECT * FROM (SELECT parent, CASE WHEN parent % 2 = 1 THEN chunk END AS chunk, CASE WHEN parent % 2 = 1 THEN ordinal END AS ordinal, CASE WHEN parent % 2 = 1 THEN section END AS section, CASE WHEN parent % 2 = 1 THEN a END AS a,
+  CASE WHEN parent % 2 = 1 THEN b END AS b, CASE WHEN parent % 2 = 1 THEN t ELSE '' END AS t, protected, row_number() OVER (ORDER BY total DESC, parent) AS rank FROM one WHERE r = 1 AND total > 0) WHERE rank <= 50),
+sem AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY hits DESC, parent, ordinal) AS rank FROM n WHERE hits > 0) WHERE rank <= 50),
+heir AS (SELECT sem.*, row_number() OVER (PARTITION BY sem.parent, l.chunk IS NULL ORDER BY sem.rank) = 1 AND l.chunk IS NULL AS first FROM sem LEFT JOIN lex l ON sem.chunk = l.chunk),
+took AS (SELECT h.parent, h.chunk, h.ordinal, h.section, h.a, h.b, h.t, h.protected OR coalesce(w.protected, false) AS protected, coalesce(l.rank, w.rank) AS lr, h.rank AS sr
+  FROM heir h LEFT JOIN lex l ON h.chunk = l.chunk LEFT JOIN lex w ON w.parent = h.parent AND w.chunk IS NULL AND h.first),
+rest AS (SELECT parent, chunk, ordinal, section, a, b, t, protected, rank AS lr, NULL AS sr FROM lex WHERE chunk IS NULL AND parent NOT IN (SELECT parent FROM heir WHERE first) OR chunk IS NOT NULL AND chunk NOT IN (SELECT chunk FROM sem)),
+f AS (SELECT *, coalesce(1.0 / (60 + lr), 0) + coalesce(1.0 / (60 + sr), 0) AS score FROM (SELECT * FROM took UNION ALL SELECT * FROM rest)),
+o AS (SELECT *, row_number() OVER (ORDER BY score DESC, protected DESC, least(coalesce(lr, 999), coalesce(sr, 999)), coalesce(lr, 999), coalesce(sr, 999), parent, chunk) AS pos FROM f)"""
+
+
+@query(_PASSAGES + """,
+p AS (SELECT *, row_number() OVER w AS n, first_value(chunk) OVER w AS pc, first_value(ordinal) OVER w AS po, first_value(section) OVER w AS ps, bool_or(protected) OVER (PARTITION BY parent) AS guard FROM o WINDOW w AS (PARTITION BY parent ORDER BY pos)),
+s AS (SELECT *, chunk IS NOT NULL AND n > 1 AND section = ps AS fits FROM p),
+q AS (SELECT *, CASE WHEN fits AND ordinal = po - 1 THEN 1 WHEN fits AND ordinal = po + 1 THEN 2 ELSE 0 END AS side FROM s),
+k AS (SELECT *, CASE WHEN n = 1 THEN 0 WHEN side > 0 THEN side WHEN fits THEN 3 ELSE 4 END AS kind FROM q),
+g AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY kind, n) AS place FROM k),
+h AS (SELECT * FROM g WHERE CASE WHEN pc IS NULL THEN kind = 0 ELSE place <= 3 OR guard END),
+m AS (SELECT *, max(CASE WHEN kind = 1 THEN t END) OVER (PARTITION BY parent) AS lt, max(CASE WHEN kind = 2 THEN t END) OVER (PARTITION BY parent) AS rt, max(CASE WHEN kind = 0 THEN t END) OVER (PARTITION BY parent) AS pt FROM h),
+l AS (SELECT *, lt IS NOT NULL AND length(lt) + length(substr(pt, 51)) <= 1000 AS with_left FROM m),
+r AS (SELECT *, rt IS NOT NULL AND (CASE WHEN with_left THEN length(lt) + length(substr(pt, 51)) ELSE length(pt) END) + length(substr(rt, 51)) <= 1000 AS with_right FROM l)
+SELECT parent, chunk, lr AS lexical_rank, sr AS semantic_rank, round(score, 9) AS score,
+ CASE WHEN kind = 0 AND chunk IS NOT NULL THEN CASE WHEN with_left THEN a - 350 ELSE a END ELSE a END AS "start",
+ CASE WHEN kind = 0 AND chunk IS NOT NULL THEN (CASE WHEN with_left THEN lt || substr(t, 51) ELSE t END) || (CASE WHEN with_right THEN substr(rt, 51) ELSE '' END) ELSE t END AS excerpt,
+ CAST(CASE WHEN chunk IS NULL THEN 0 WHEN kind = 0 THEN 1 + CAST(with_left AS INT) + CAST(with_right AS INT) ELSE 1 END AS BIGINT) AS made_of
+FROM r WHERE NOT (kind = 1 AND with_left) AND NOT (kind = 2 AND with_right)
+ORDER BY pos LIMIT 1000""")
+def passages_consolidated(spark, folder):
+    """Two lanes of passages fused; a parent's lexical row goes to its best passage, neighbours are joined, at most three passages a parent."""
+    return fusion.consolidated(_fused(spark, folder), 1000).select("parent", "chunk", F.col("lexical_rank").cast("long").alias("lexical_rank"), F.col("semantic_rank").cast("long").alias("semantic_rank"), F.round("score", 9).alias("score"), "start", F.col("text").alias("excerpt"), F.size("chunks").cast("long").alias("made_of"))
+
+
+@query(_PASSAGES + """,
+z AS (SELECT *, CASE WHEN pos > 20 THEN CASE WHEN protected THEN 'late' ELSE 'gone' END WHEN protected THEN 'safe' ELSE 'free' END AS g FROM o),
+y AS (SELECT *, least(count(*) FILTER (WHERE g = 'late') OVER (), count(*) FILTER (WHERE g = 'free') OVER ()) AS given, row_number() OVER (PARTITION BY g ORDER BY pos) AS ahead, row_number() OVER (PARTITION BY g ORDER BY pos DESC) AS behind FROM z)
+SELECT parent, chunk, protected FROM y WHERE g = 'safe' OR g = 'free' AND behind > given OR g = 'late' AND ahead <= given""")
+def passages_retained(spark, folder):
+    """The first twenty of the fused passages, with all protected ones that have room."""
+    return fusion.retained(_fused(spark, folder), 20).select("parent", "chunk", "protected")
+
+
+def _fused(spark, folder):
+    """A lexical lane of whole documents (even ids) and their best passages (odd ids), and a lane of passages, by how often a word stands there."""
+    docs = table(spark, folder, "documents").where("text <> ''").select(F.col("doc_id").alias("parent"), "text", (F.col("doc_id") % 17 == 0).alias("protected"))
+    places = F.explode(F.sequence(F.lit(0), F.ceil(F.length("text") / 350).cast("int") - 1)).alias("i")
+    at, i = (F.col("i") * 350).cast("long"), F.col("i").cast("long")
+    part = F.substring(F.col("text"), F.col("i") * 350 + 1, F.lit(400))
+    cut = docs.select("parent", "text", "protected", places).select("parent", F.concat("parent", F.lit(":"), "i").alias("chunk"), i.alias("ordinal"), F.floor(i / 4).alias("section"), at.alias("start"), F.least(at + 400, F.length("text").cast("long")).alias("end"), part.alias("text"), "protected")
+    hits = cut.withColumn("hits", ((F.length("text") - F.length(F.replace(F.lower("text"), F.lit("that"), F.lit("")))) / 4).cast("long"))
+    best = hits.groupBy("parent").agg(F.sum("hits").alias("total"), F.min_by(F.struct(*fusion.PASSAGE, "protected"), F.struct(-F.col("hits"), F.col("ordinal"))).alias("p")).where("total > 0")
+    odd = F.col("parent") % 2 == 1
+    fields = [F.when(odd, F.col(f"p.{c}")).otherwise("" if c == "text" else None).alias(c) for c in fusion.PASSAGE]
+    lexical = best.select("parent", *fields, "p.protected", F.struct(-F.col("total"), F.col("parent")).alias("seq"))
+    semantic = hits.where("hits > 0").withColumn("seq", F.struct(-F.col("hits"), F.col("parent"), F.col("ordinal"))).drop("hits")
+    return fusion.fused_passages(lexical, semantic)
+
+
 @query("""
 SELECT query_id, vec_id, round(distance, 6) + 0.0 AS distance FROM (SELECT q.vec_id AS query_id, v.vec_id, 1 - list_sum(list_transform(range(1, 65), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(v.embedding[i] AS DOUBLE))) AS distance,
  row_number() OVER (PARTITION BY q.vec_id ORDER BY distance, v.vec_id) AS r FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0) WHERE r <= 10""")
