@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone.functions import markup as M
 from lodestone.operators import evidence as E
 from lodestone.operators import retrieval as R
 from lodestone.operators import search
@@ -207,6 +208,32 @@ def page_text(spark, folder):
     return table(spark, folder, "pages").select("page_id", F.md5(R.html_text(F.col("html"))).alias("digest"))
 
 
+_MARKDOWN = r"""
+WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<head.*?</head>', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g') AS h FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '<a href="([^"]*)">(.*?)</a>', '[\2](\1)', 'g'), '<h1>', chr(10) || chr(10) || '# ', 'g'), '</?h1>', chr(10) || chr(10), 'g'),
+ '<li>', chr(10) || '- ', 'g'), '<br>', chr(10), 'g'), '</?(p|div|article|nav|ul|footer|body|html)( [^>]*)?>', chr(10) || chr(10), 'g'), '<[^>]*>', '', 'g') AS h FROM a),
+c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(h, '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS h FROM b),
+m AS (SELECT page_id, trim(trim(regexp_replace(regexp_replace(regexp_replace(h, ' +', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(10)), ' ') AS md FROM c)"""
+
+
+@query(_MARKDOWN + " SELECT page_id, md FROM m")
+def page_markdown(spark, folder):
+    """Web pages as Markdown."""
+    return table(spark, folder, "pages").select("page_id", M.markdown(F.col("html")).alias("md"))
+
+
+@query(_MARKDOWN + r""", l AS (SELECT page_id, list_transform(regexp_extract_all(md, '\]\(([^()]*)\)', 1), lambda x: ltrim(x, '/')) AS t FROM m),
+k AS (SELECT DISTINCT 'note' || page_id AS name FROM pages), f AS (SELECT page_id, unnest(t) AS target FROM l)
+SELECT page_id, count(*) AS links, string_agg(DISTINCT target, ' ' ORDER BY target) AS targets, count(*) FILTER (WHERE target NOT IN (SELECT name FROM k)) AS broken FROM f GROUP BY 1""")
+def markdown_links(spark, folder):
+    """Links of Markdown files, resolved against the file they stand in, and how many lead to no file."""
+    pages = table(spark, folder, "pages").select("page_id", M.markdown(F.col("html")).alias("md"), F.concat(F.lit("note"), "page_id").alias("path"))
+    found = pages.select("page_id", "path", F.explode(M.destinations(F.col("md"))).alias("d")).where(~M.external(F.col("d"))).select("page_id", M.resolved(F.col("path"), F.col("d")).alias("target"))
+    known = pages.select(F.col("path").alias("target"), F.lit(1).alias("known"))
+    each = found.groupBy("page_id", "target").agg(F.count(F.lit(1)).alias("n")).join(known, "target", "left")
+    return each.groupBy("page_id").agg(F.sum("n").alias("links"), F.array_join(F.array_sort(F.collect_set("target")), " ").alias("targets"), F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)).alias("broken"))
+
+
 @query(r"""
 WITH w AS (SELECT page_id, regexp_extract_all(lower(html), '[\p{L}\p{N}]+') AS w FROM pages), t AS (SELECT page_id, len(w) AS n, len(list_filter(w, lambda x: starts_with(x, 'article'))) AS tf FROM w), s AS (SELECT count(*) AS n_docs, avg(n) AS mean, count(*) FILTER (WHERE tf > 0) AS df FROM t)
 SELECT page_id, round(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)), 9) AS score FROM t, s WHERE tf > 0""")
