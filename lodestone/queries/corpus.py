@@ -7,9 +7,10 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import chunks, events, graph, merges
+from lodestone.operators import chunks, discovery, events, graph, merges
 from lodestone.queries import query
 from lodestone.sources.tables import table
+from lodestone.streaming.events import folder_for
 
 _LOG = """log AS (
   SELECT strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS "at", 'order' AS entity, o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'source_summarized' WHEN 'P' THEN 'source_failed' ELSE 'source_created' END AS kind FROM orders
@@ -64,6 +65,22 @@ def normalised_urls(spark, folder):
     return table(spark, folder, "pages").select("page_id", T.normalised_url(F.col("url")).alias("u")).where("u is not null").select("page_id", "u.url", "u.kind", "u.host", "u.key")
 
 
+@query(rf"""WITH {_URL}, l AS (SELECT p.page_id AS item, o.page_id - p.page_id AS position, o.url AS raw, n.url, n.host, 'src:' || substr(sha256(n.url), 1, 12) AS key FROM pages p JOIN pages o ON o.page_id IN (p.page_id, p.page_id + 1) JOIN n ON n.page_id = o.page_id),
+e AS (SELECT item, key, min_by(raw, position) AS original_url, CASE WHEN item % 2 = 0 THEN 1 ELSE 2 END AS version FROM l GROUP BY item, key),
+s AS (SELECT key, min_by(url, (version, item, position)) AS url, min_by(item, (version, item, position)) AS first_item, min_by(raw, (version, item, position)) AS first_url, min(version) AS source_version FROM (SELECT *, CASE WHEN item % 2 = 0 THEN 1 ELSE 2 END AS version FROM l) GROUP BY key)
+SELECT item, key AS source_key, url, original_url, version, first_item, first_url, source_version FROM e JOIN s USING (key)""")
+def link_discovery(spark, folder):
+    """Sources and edges after three steps: pages of even ids, all pages, all again, which adds nothing."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    after = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next"))
+    items = pages.join(after, "page_id", "left").select("page_id", F.array("url", "next", F.concat("url", F.lit("#again")), F.lit("not an address")).alias("links"))
+    root = folder_for(spark, "links")
+    for rows in (items.where("page_id % 2 = 0"), items, items):
+        discovery.discover(rows, "page_id", "links", root)
+    sources = discovery.read(spark, root, "sources").select("source_key", "url", "first_item", "first_url", F.col("version").alias("source_version"))
+    return discovery.read(spark, root, "edges").join(sources, "source_key").select("item", "source_key", "url", "original_url", "version", "first_item", "first_url", "source_version")
+
+
 @query(r"""SELECT page_id, len(list_distinct(regexp_extract_all(html, 'href="([^"]+)"', 1))) AS links FROM pages WHERE len(regexp_extract_all(html, 'href="([^"]+)"', 1)) > 0""")
 def page_links(spark, folder):
     found = F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1))
