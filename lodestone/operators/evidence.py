@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,34 +23,98 @@ def best_sentence(text: Column, longest: int = 220) -> Column:
     return out
 
 
-def best_window(text: str, terms: list[str], most: int) -> str:
-    """The stretch of `most` characters around a term that covers most terms, rare ones counting more; the earliest on ties."""
-    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)  # places stay those of the text
-    rare = {t: 100 + 1000 // max(1, low.count(t)) + len(t) for t in terms}
-    best: tuple[int, int] | None = None
-    for term in terms:
-        at = low.find(term)
-        while at >= 0:
-            start = max(0, min(at - most // 4, len(text) - most))
-            part = low[start : start + most]
-            value = len(term) + sum(v for t, v in rare.items() if t in part)
-            if best is None or (value, -start) > (best[0], -best[1]):
-                best = (value, start)
-            at = low.find(term, at + len(term))
-    if best is None:
-        return ""
-    start = best[1]
-    return ("..." if start else "") + text[start : start + most].strip() + ("..." if start + most < len(text) else "")
-
-
-def snippets(text: Column, terms: list[str], most: int = 160) -> Column:
-    """Best windows, by a small helper over Arrow batches."""
-
-    @F.pandas_udf("string")
-    def udf(texts):
-        return texts.map(lambda t: best_window(t or "", terms, most))
-
-    return udf(text)
+def running(sizes: Column, block: int = 256) -> Column:
+    """The sum of all sizes before each; summed in blocks, so that a long array is not copied for each of its places."""
+
+    def whole(all_: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            one = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+            part = F.aggregate(F.slice(all_, i * block + 1, F.lit(block)), F.struct(acc["at"].alias("at"), F.array().cast("array<int>").alias("out")), one)
+            return F.transform(F.array(part), lambda p: F.struct(p["at"].alias("at"), F.concat(acc["out"], F.array(p["out"])).alias("out")))[0]
+
+        blocks = F.sequence(F.lit(0), F.floor((F.greatest(F.size(all_), F.lit(1)) - 1) / block).cast("int"))
+        return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out")), step, lambda acc: F.flatten(acc["out"]))
+
+    return F.transform(F.array(sizes), whole)[0]
+
+
+def _low(text: Column) -> Column:
+    """Lower case that keeps every place: the one letter that would become two is none of any term."""
+    return F.lower(F.translate(text, "\u0130", "\ue000"))
+
+
+def _events(low: Column, terms: list[str], most: int) -> Column:
+    """(minus place, kind, size), last place first: where terms stand (kind: the term's number) and, after those of the same place, where windows begin (kind: the number of terms)."""
+    size = F.length(low)
+
+    def listed(i: int, term: str) -> list[Column]:
+        quoted = re.escape(term)
+        event = lambda at, kind, n: F.struct((-at).alias("at"), F.lit(kind).alias("kind"), F.lit(n).alias("size"))
+        stands = F.filter(running(F.transform(F.split(low, f"(?={quoted})"), F.length)), lambda at: (at > 0) | F.startswith(low, F.lit(term)))
+        met = F.filter(running(F.transform(F.split(low, quoted), lambda p: F.length(p) + len(term))), lambda _, n: n > 0)
+        begin = lambda after: F.greatest(F.least(after - len(term) - most // 4, size - most), F.lit(0))
+        return [F.transform(stands, lambda at: event(at, i, 0)), F.transform(met, lambda after: event(begin(after), len(terms), len(term)))]
+
+    lists = [x for i, term in enumerate(terms) for x in listed(i, term)]
+    return F.array_sort(F.concat(*lists))
+
+
+def best_window(text: Column, terms: list[str], most: int = 160, counted: Column | None = None) -> Column:
+    """(score, text): the stretch of `most` characters, a quarter of it before a term, that is worth most; the earliest on ties; null without any term.
+
+    It is worth the length of the term that it is around and, for each term in it, 100, its length and 1000 by how often it stands in `counted` (this text,
+    if not given). Trimmed, with `...` where text is left out. One pass over the places of the terms from the last to the first, which
+    carries the next place of each term: linear in the text but for sorting the places.
+    """
+    terms = list(dict.fromkeys(t.strip().lower() for t in terms if t.strip()))
+    text = F.coalesce(text, F.lit(""))
+    if not terms:
+        return F.lit(None).cast("struct<score:int,text:string>")
+    far = 2**30
+
+    def whole(low: Column) -> Column:
+        base = _low(counted) if counted is not None else low
+        often = [F.size(F.split(base, re.escape(t))) - 1 for t in terms]
+        rare = F.array(*(100 + F.floor(F.lit(1000) / F.greatest(n, F.lit(1))).cast("int") + len(t) for n, t in zip(often, terms)))
+        start = F.struct(F.array(*(F.lit(far) for _ in terms)).alias("next"), F.lit(-1).alias("score"), F.lit(0).alias("start"))
+
+        def scan(worth: Column) -> Column:
+            def step(s: Column, e: Column) -> Column:
+                at = -e["at"]
+                moved = F.transform(s["next"], lambda v, i: F.when(i == e["kind"], at).otherwise(v))
+                value = e["size"]
+                for i, t in enumerate(terms):
+                    value = value + F.when(F.get(s["next"], F.lit(i)) + len(t) <= at + most, F.get(worth, F.lit(i))).otherwise(0)
+                better = (e["kind"] == len(terms)) & (value >= s["score"])
+                return F.struct(F.when(e["kind"] == len(terms), s["next"]).otherwise(moved).alias("next"), F.when(better, value).otherwise(s["score"]).alias("score"), F.when(better, at).otherwise(s["start"]).alias("start"))
+
+            return F.aggregate(_events(low, terms, most), start, step)
+
+        return F.transform(F.array(rare), scan)[0]
+
+    found = F.transform(F.array(_low(text)), whole)[0]
+    trimmed = lambda t: F.trim(F.regexp_replace(t, r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", ""))
+
+    def shown(s: Column) -> Column:
+        cut = F.concat(F.when(s["start"] > 0, "...").otherwise(""), trimmed(F.substring(text, s["start"] + 1, F.lit(most))), F.when(s["start"] + most < F.length(text), "...").otherwise(""))
+        return F.when(s["score"] >= 0, F.struct(s["score"].alias("score"), cut.alias("text")))
+
+    return F.transform(F.array(found), shown)[0]
+
+
+def excerpt(values: list[Column], terms: list[str], most: int = 160) -> Column:
+    """The best window among several texts (white space as one space; the first on ties), terms counted over all of them; without any, the beginning of the first text that is not empty."""
+    one = [F.trim(F.regexp_replace(F.coalesce(v, F.lit("")), r"\s+", " ")) for v in values]
+    every = F.array_join(F.filter(F.array(*one), lambda v: v != ""), "\n")
+
+    def ranked(i: int, value: Column) -> Column:
+        mark = lambda w: F.when(w.isNotNull(), F.struct((-w["score"]).alias("s"), F.lit(i).alias("i"), w["text"].alias("t")))
+        return F.transform(F.array(best_window(value, terms, most, every)), mark)[0]
+
+    best = F.array_sort(F.filter(F.array(*(ranked(i, v) for i, v in enumerate(one))), lambda w: w.isNotNull()))
+    first = F.coalesce(F.get(F.filter(F.array(*one), lambda v: v != ""), F.lit(0)), F.lit(""))
+    short = F.when(F.length(first) > most, F.concat(F.trim(F.substring(first, 1, most)), F.lit("..."))).otherwise(first)
+    return F.coalesce(F.get(best, F.lit(0))["t"], short)
 
 
 def text_score(candidates: Column, query: str) -> Column:
