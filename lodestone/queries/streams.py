@@ -8,6 +8,7 @@ from lodestone.plans import research
 from lodestone.queries import query
 from lodestone.sources.tables import table
 from lodestone.streaming import events as S
+from lodestone.streaming.projection import Projection
 
 
 @query("SELECT CAST(floor(epoch(ts) / 21600) * 21600 AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -42,3 +43,27 @@ def stream_incidents(spark, folder):
 def research_pack(spark, folder):
     """Evidence for a question, fused from several lanes."""
     return research.evidence_pack(table(spark, folder, "documents"), "doc_id", "text", "What is licensed under the thing that is not open?")
+
+
+@query("""
+WITH r AS (SELECT doc_id, doc_id % 4 AS revision, coalesce(text, '') AS text FROM documents),
+c AS (SELECT doc_id, revision, substr(text, 500 * i + 1, 500) AS t FROM (SELECT *, unnest(range(CAST(ceil(length(text) / 500.0) AS BIGINT))) AS i FROM r WHERE revision <= 2))
+SELECT doc_id, revision, 'projected' AS state, coalesce(n, 0) AS chunks, coalesce(longest, 0) AS longest FROM r LEFT JOIN (SELECT doc_id, count(*) AS n, max(length(t)) AS longest FROM c GROUP BY 1) USING (doc_id) WHERE revision <= 2
+UNION ALL SELECT doc_id, revision, 'dirty', 0, 0 FROM r WHERE revision > 2""")
+def watermark_projection(spark, folder):
+    """Documents as changes of revisions 0 to 3, projected up to 2 in two runs; those of revision 3 stay dirty."""
+    log = S.stream_of(spark, f"{folder}/documents.parquet").select("doc_id", (F.col("doc_id") % 4).alias("revision"), "text")
+
+    def cut(rows):
+        size = F.length(F.coalesce("text", F.lit("")))
+        places = F.when(size > 0, F.sequence(F.lit(0), F.ceil(size / 500).cast("int") - 1))
+        return rows.select("doc_id", "revision", "text", F.explode(places).alias("i")).select("doc_id", "revision", "i", F.substring(F.col("text"), F.col("i") * 500 + 1, F.lit(500)).alias("piece"))
+
+    held = Projection(spark, S.folder_for(spark, "projection"), log.schema, cut, "doc_id")
+    for upto in (1, 2):
+        held.run(log, upto)
+    sizes = held.chunks().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("piece")).alias("most"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    done = held.projected().join(sizes, "doc_id", "left").select("doc_id", "revision", F.lit("projected").alias("state"), zero("n").alias("chunks"), zero("most").alias("longest"))
+    none = F.lit(0).cast("long")
+    return done.unionByName(held.dirty().select("doc_id", "revision", F.lit("dirty").alias("state"), none.alias("chunks"), none.alias("longest")))
