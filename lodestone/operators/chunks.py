@@ -164,3 +164,56 @@ def difference(old: DataFrame, new: DataFrame, key: list[str], digest: str) -> D
     both = old.select(*key, F.col(digest).alias("_old")).join(new.select(*key, F.col(digest).alias("_new")), key, "full_outer")
     count = lambda c, name: F.count_if(c).alias(name)
     return both.agg(count(F.col("_old").isNull(), "created"), count(F.col("_old") != F.col("_new"), "updated"), count(F.col("_old") == F.col("_new"), "reused"), count(F.col("_new").isNull(), "deleted"))
+
+
+def capped_counts(places: DataFrame, chunk: str, parent: str, limit: int, held: int = 200_000) -> DataFrame:
+    """(chunk, n): in how many different parents each chunk stands, `limit` + 1 for all that stand in more.
+
+    Each task keeps at most `limit` + 1 parents of a chunk and passes on what it has when it knows `held` chunks, so a chunk that every parent has ships so many rows for each
+    task and no more. Null chunks and parents do not count.
+    """
+    if limit < 0:
+        raise ValueError("limit is negative")
+    rows = places.where(F.col(chunk).isNotNull() & F.col(parent).isNotNull()).select(F.col(chunk).alias("chunk"), F.col(parent).alias("parent"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(batches):
+        known: dict = {}
+        schema = None
+
+        def passed_on() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(known), schema.field("chunk").type), pa.array([list(v) for v in known.values()], pa.list_(schema.field("parent").type))], names=["chunk", "parents"])
+            known.clear()
+            return out
+
+        for b in batches:
+            schema = b.schema
+            for c, p in zip(b.column("chunk").to_pylist(), b.column("parent").to_pylist()):
+                some = known.setdefault(c, set())
+                if len(some) <= limit:
+                    some.add(p)
+            if len(known) >= held:
+                yield passed_on()
+        if known:
+            yield passed_on()
+
+    few = rows.mapInArrow(run, f"chunk {kinds['chunk']}, parents array<{kinds['parent']}>").select("chunk", F.explode("parents").alias("parent"))
+    counts = few.groupBy("chunk").agg(F.count_distinct("parent").alias("n"))
+    return counts.select(F.col("chunk").alias(chunk), F.least("n", F.lit(limit + 1)).alias("n"))
+
+
+def hydrated(ids: DataFrame, chunks: DataFrame, parents: list[DataFrame], most: int = 1000) -> DataFrame:
+    """Chunk rows of the asked ids (chunk_id) with their parents' fields, by chunk_id. `chunks` has chunk_id, kind and parent besides its own columns, each of `parents` the same columns with kind,
+    parent, note and current.
+
+    Ids are trimmed, each counts once, empty ones go; more than `most` are refused. A chunk without a current parent that has a note is left out.
+    """
+    asked = ids.select(F.trim("chunk_id").alias("chunk_id")).where("chunk_id <> ''").distinct()
+    if len(asked.limit(most + 1).collect()) > most:
+        raise ValueError(f"more than {most} chunks")
+    every = parents[0]
+    for more in parents[1:]:
+        every = every.unionByName(more)
+    every = every.where((F.trim(F.coalesce("note", F.lit(""))) != "") & F.coalesce("current", F.lit(False))).drop("current")
+    found = chunks.join(F.broadcast(asked), "chunk_id")  # `most` rows
+    return every.join(F.broadcast(found), ["kind", "parent"]).orderBy("chunk_id")  # a chunk has one parent

@@ -142,6 +142,30 @@ def document_chunks(spark, folder):
     return chunks.chunked(table(spark, folder, "documents"), "doc_id", "text").select("doc_id", "ordinal", "start", "end", F.sha2("text", 256).alias("digest"))
 
 
+@query("""
+WITH c AS (SELECT doc_id, md5(substr(text, 200 * i + 1, 200)) AS chunk FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 200.0) AS BIGINT))) AS i FROM documents) UNION ALL SELECT doc_id, 'everywhere' FROM documents)
+SELECT chunk, least(count(DISTINCT doc_id), 4) AS n FROM c GROUP BY 1 HAVING count(DISTINCT doc_id) > 1""")
+def capped_occurrences(spark, folder):
+    """Pieces of 200 characters by how many documents have them, 4 for more than three; one stands in every document."""
+    docs = table(spark, folder, "documents")
+    places = F.explode(F.concat(F.transform(F.filter(F.sequence(F.lit(0), F.ceil(F.length("text") / 200).cast("int")), lambda i: i * 200 < F.length("text")), lambda i: F.md5(F.substring(F.col("text"), i * 200 + 1, F.lit(200)))), F.array(F.lit("everywhere"))))
+    return chunks.capped_counts(docs.select("doc_id", places.alias("chunk")), "chunk", "doc_id", 3).where("n > 1")
+
+
+@query("""
+WITH c AS (SELECT o_orderkey AS chunk_id, CASE WHEN o_orderkey % 2 = 0 THEN 'item' ELSE 'source' END AS kind, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE o_custkey % 50 END AS parent, o_totalprice AS price FROM orders),
+p AS (SELECT 'item' AS kind, c_custkey AS parent, c_name AS title FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT 'source', s_suppkey, s_name FROM supplier WHERE s_suppkey % 5 <> 0)
+SELECT chunk_id, kind, parent, price, title FROM c JOIN p USING (kind, parent) WHERE chunk_id IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 < 2 ORDER BY o_orderkey LIMIT 900)""")
+def chunk_hydration(spark, folder):
+    """Chunks of a search with the fields of their parents, items and sources alike."""
+    orders, even = table(spark, folder, "orders"), F.col("o_orderkey") % 2 == 0
+    rows = orders.select(F.col("o_orderkey").cast("string").alias("chunk_id"), F.when(even, "item").otherwise("source").alias("kind"), F.when(even, F.col("o_custkey")).otherwise(F.col("o_custkey") % 50).alias("parent"), F.col("o_totalprice").alias("price"))
+    items = table(spark, folder, "customer").select(F.lit("item").alias("kind"), F.col("c_custkey").alias("parent"), F.col("c_name").alias("title"), F.when(F.col("c_custkey") % 3 != 0, "note").otherwise(" ").alias("note"), F.lit(True).alias("current"))
+    sources = table(spark, folder, "supplier").select(F.lit("source").alias("kind"), F.col("s_suppkey").alias("parent"), F.col("s_name").alias("title"), F.lit("note").alias("note"), (F.col("s_suppkey") % 5 != 0).alias("current"))
+    asked = orders.where("o_orderkey % 4 < 2").orderBy("o_orderkey").limit(900).select(F.concat(F.lit(" "), F.col("o_orderkey")).alias("chunk_id"))
+    return chunks.hydrated(asked, rows, [items, sources]).select(F.col("chunk_id").cast("long").alias("chunk_id"), "kind", "parent", "price", "title")
+
+
 @query("""
 WITH o AS (SELECT doc_id, md5(text) AS d FROM documents WHERE doc_id % 5 <> 0), n AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN md5(text || '!') ELSE md5(text) END AS d FROM documents WHERE doc_id % 6 <> 0)
 SELECT count(*) FILTER (WHERE o.d IS NULL) AS created, count(*) FILTER (WHERE o.d <> n.d) AS updated, count(*) FILTER (WHERE o.d = n.d) AS reused, count(*) FILTER (WHERE n.d IS NULL) AS deleted FROM o FULL JOIN n USING (doc_id)""")
