@@ -17,13 +17,18 @@ def reciprocal_rank(lanes: dict[str, tuple[DataFrame, float]], key: str, window:
     for name, (lane, _) in lanes.items():
         ranked = lane.select(key, F.col("rank").alias(f"{name}_rank"))
         fused = ranked if fused is None else fused.join(ranked, key, "full_outer")
+    return fused_ranks(fused.withColumnsRenamed({f"{n}_rank": n for n in lanes}), {n: w for n, (_, w) in lanes.items()}, key, window, k)
+
+
+def fused_ranks(wide: DataFrame, weights: dict[str, float], key: str, window: int = 20, k: int = K) -> DataFrame:
+    """The same for rows (key, a rank for each lane, null where it has none); ranks are named lane_rank then."""
     score, worst = F.lit(0.0), F.lit(2**31 - 1)
-    ranks = [F.coalesce(F.col(f"{n}_rank").cast("int"), worst) for n in lanes]
-    for name, (_, weight) in lanes.items():
+    ranks = [F.coalesce(F.col(f"{n}_rank").cast("int"), worst) for n in weights]
+    for name, weight in weights.items():
         score = score + F.coalesce(F.lit(float(weight)) / (k + F.col(f"{name}_rank")), F.lit(0.0))
     best = F.least(*ranks) if len(ranks) > 1 else ranks[0]
     order = [F.desc("score"), best.asc(), *(r.asc() for r in ranks), F.asc(key)]
-    return fused.withColumn("score", score).orderBy(*order).limit(window)
+    return wide.select(key, *(F.col(n).alias(f"{n}_rank") for n in weights)).withColumn("score", score).orderBy(*order).limit(window)
 
 
 def joined(passages: Column) -> Column:

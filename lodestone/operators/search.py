@@ -45,13 +45,29 @@ def _statistics(docs: DataFrame, text: str, terms: list[str]) -> DataFrame:
     return hits.agg(F.count(F.lit(1)).alias("N"), F.avg("hit.n_tokens").alias("mean"), *(F.count_if(F.col("hit.tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))))
 
 
-def _bm25(terms: list[str]) -> Column:
+def _bm25(terms: list[str], of: list[int] | None = None) -> Column:
+    """The score by all terms, or by those of some numbers."""
+
     def part(i: int) -> Column:
         idf = F.greatest(F.log((F.col("N") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(1e-6))
         tf = F.col("tf")[i]
         return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_tokens") / F.col("mean")))
 
-    return reduce(lambda a, b: a + b, (part(i) for i in range(len(terms))), F.lit(0.0))
+    return reduce(lambda a, b: a + b, (part(i) for i in (range(len(terms)) if of is None else of)), F.lit(0.0))
+
+
+def ranked_lanes(docs: DataFrame, key: str, text: str, lanes: dict[str, list[str]], depth: int) -> DataFrame:
+    """(lane, key, score, rank): for each lane the best `depth` documents that have all its terms, by BM25 and then by key. One scan scores all lanes, one gives a row of statistics; a lane without terms finds nothing."""
+    terms = sorted({t for lane in lanes.values() for t in lane})
+    number = {t: i for i, t in enumerate(terms)}
+    of = {name: [number[t] for t in dict.fromkeys(lane)] for name, lane in lanes.items()}
+    some = F.explode_outer(F.filter(F.array(_hit(text, terms)), lambda h: F.exists(h["tf"], lambda x: x > 0))).alias("hit")
+    base = docs.select(key, some).where("hit is not null").select(key, "hit.n_tokens", "hit.tf").crossJoin(F.broadcast(_statistics(docs, text, terms)))  # a row
+    has = {name: reduce(lambda a, b: a & b, (F.col("tf")[i] > 0 for i in of[name]), F.lit(bool(of[name]))) for name in lanes}
+    each = F.filter(F.array(*(F.when(has[name], F.struct(F.lit(name).alias("lane"), _bm25(terms, of[name]).alias("score"))) for name in lanes)), lambda x: x.isNotNull())
+    found = base.select(key, F.inline(each))
+    rank = F.row_number().over(Window.partitionBy("lane").orderBy(F.desc("score"), F.asc(key)))
+    return found.withColumn("rank", rank).where(F.col("rank") <= depth).select("lane", key, "score", "rank")
 
 
 def scored(docs: DataFrame, key: str, text: str, terms: list[str], keep: tuple[str, ...] = ()) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.plans import research
+from lodestone.plans.terms import terms_of
 from lodestone.queries import query
 from lodestone.sources.tables import table
 from lodestone.streaming import events as S
@@ -39,10 +40,58 @@ def stream_incidents(spark, folder):
     return S.drained(S.incidents(S.stream_of(spark, f"{folder}/events.parquet")), "append")
 
 
-@query()
+_QUESTION = "What is licensed under the thing that is not open?"
+
+
+def _pack_sql(question: str, most: int) -> str:
+    lanes = research.variants(question)
+    terms, words = sorted({t for lane in lanes for t in lane}), terms_of(question)
+    tf = ", ".join(f"len(list_filter(w, lambda x: starts_with(x, '{t}'))) AS tf{i}" for i, t in enumerate(terms))
+    df = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in range(len(terms)))
+    part = lambda i: f"greatest(ln((n_docs - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * n / mean))"
+    number = lambda lane: [terms.index(t) for t in lane]
+    each = " UNION ALL ".join(f"SELECT {j} AS lane, doc_id, {' + '.join(map(part, number(lane)))} AS score FROM t, s WHERE {' AND '.join(f'tf{i} > 0' for i in number(lane))}" for j, lane in enumerate(lanes))
+    ranks = [f"max(rank) FILTER (WHERE lane = {j})" for j in range(len(lanes))]
+    order = ", ".join(f"coalesce({r}, 2147483647)" for r in ranks)
+    return rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents), t AS (SELECT doc_id, len(w) AS n, {tf} FROM w), s AS (SELECT count(*) AS n_docs, avg(n) AS mean, {df} FROM t),
+l AS ({each}), r AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY score DESC, doc_id) AS rank FROM l QUALIFY rank <= 50),
+f AS (SELECT doc_id, sum(1.0 / (60 + rank)) AS score, {', '.join(f'{r} AS lane{j}_rank' for j, r in enumerate(ranks))} FROM r GROUP BY doc_id ORDER BY sum(1.0 / (60 + rank)) DESC, least({order}), {order}, doc_id LIMIT 20),
+d AS (SELECT doc_id, x AS text, lower(x) AS low FROM (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS x FROM documents JOIN f USING (doc_id))),
+p AS (SELECT doc_id, term, length(term) AS m, unnest(string_split(low, term)) AS piece, generate_subscripts(string_split(low, term), 1) AS k FROM d, (VALUES {', '.join(f"('{t}')" for t in words)}) AS v(term)),
+h AS (SELECT doc_id, term, m, k, max(k) OVER (PARTITION BY doc_id, term) - 1 AS often, sum(length(piece) + m) OVER (PARTITION BY doc_id, term ORDER BY k) - m AS pos FROM p),
+c AS (SELECT DISTINCT doc_id, term, m, often FROM h),
+g AS (SELECT h.doc_id, CAST(greatest(least(pos - {most // 4}, length(low) - {most}), 0) AS BIGINT) AS start, h.m, low FROM h JOIN d USING (doc_id) WHERE k <= often),
+b AS (SELECT doc_id, arg_min(start, (-score, start)) AS start FROM (SELECT g.doc_id, start, g.m + sum(CASE WHEN contains(substr(low, start + 1, {most}), c.term) THEN 100 + 1000 // greatest(often, 1) + c.m ELSE 0 END) AS score FROM g JOIN c USING (doc_id) GROUP BY g.doc_id, start, g.m, low) GROUP BY doc_id)
+SELECT doc_id, round(score, 9) AS score, {', '.join(f'lane{j}_rank' for j in range(len(lanes)))}, CASE WHEN start > 0 THEN '...' ELSE '' END || trim(substr(text, start + 1, {most})) || CASE WHEN start + {most} < length(text) THEN '...' ELSE '' END AS excerpt FROM f JOIN d USING (doc_id) JOIN b USING (doc_id)"""
+
+
+_CASES = [
+    {"id": "license", "question": "What is licensed under it?", "expected": [0], "forbidden": []},
+    {"id": "words", "question": "thre and ble", "expected": [], "forbidden": [1]},
+    {"id": "nothing", "question": "zebracorn", "expected": [], "forbidden": [3]},
+]
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents), c AS (SELECT * FROM (VALUES ('license', ['licensed', 'under'], [0], []::BIGINT[]), ('words', ['thre', 'ble'], [], [1]), ('nothing', ['zebracorn'], [], [3])) AS v(id, terms, expected, forbidden)),
+t AS (SELECT id, doc_id, len(w) AS n, len(terms) AS k, unnest(terms) AS term, w FROM c, w), h AS (SELECT *, len(list_filter(w, lambda x: starts_with(x, term))) AS tf FROM t),
+s AS (SELECT count(*) AS n_docs, avg(len(w)) AS mean FROM w), df AS (SELECT id, term, count(*) FILTER (WHERE tf > 0) AS df FROM h GROUP BY 1, 2),
+b AS (SELECT id, doc_id, sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) AS score FROM h JOIN df USING (id, term), s GROUP BY id, doc_id, k HAVING count(*) FILTER (WHERE tf > 0) = k),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, doc_id) AS rank FROM b QUALIFY rank <= 10), l AS (SELECT id, list(doc_id ORDER BY rank) AS hits FROM r GROUP BY id)
+SELECT id, array_to_string(coalesce(hits, []), ' ') AS hits, list_filter(expected, lambda x: NOT list_contains(coalesce(hits, []), x)) = [] AND list_filter(forbidden, lambda x: list_contains(coalesce(hits, []), x)) = [] AS passes FROM c LEFT JOIN l USING (id)""")
+def question_checks(spark, folder):
+    """Questions with expected and forbidden documents, all scored in one scan."""
+    found = research.checked(table(spark, folder, "documents"), "doc_id", "text", _CASES)
+    return found.select("id", F.array_join("hits", " ").alias("hits"), "passes")
+
+
+@query(_pack_sql(_QUESTION, 240))
 def research_pack(spark, folder):
-    """Evidence for a question, fused from several lanes."""
-    return research.evidence_pack(table(spark, folder, "documents"), "doc_id", "text", "What is licensed under the thing that is not open?")
+    """Evidence for a question, fused from the lanes of its variants."""
+    found = research.evidence_pack(table(spark, folder, "documents"), "doc_id", "text", _QUESTION)
+    ranks = [F.col(c).cast("long").alias(c) for c in found.columns if c.endswith("_rank")]
+    return found.select("doc_id", F.round("score", 9).alias("score"), *ranks, "excerpt")
 
 
 @query("""
