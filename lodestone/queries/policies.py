@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import evidence as E
-from lodestone.operators import graph, readiness
+from lodestone.operators import graph, hydration, readiness
 from lodestone.operators import windows as W
 from lodestone.queries import query
 from lodestone.sources import tables
@@ -31,6 +31,38 @@ def candidate_order(spark, folder):
     return table(spark, folder, "orders").orderBy(rank, F.when(status == "P", F.col("o_custkey") % 4).otherwise(0), "o_orderpriority", "o_orderdate", F.desc("o_orderkey")).limit(250).select("o_orderkey")
 
 
+@query("""
+WITH items AS (SELECT o_orderkey AS item, CASE o_custkey % 3 WHEN 0 THEN 'x_quote' ELSE 'x_bookmark' END AS source_type, CASE o_orderstatus WHEN 'O' THEN 'ok_graphql' WHEN 'P' THEN 'error' ELSE 'ok_web' END AS status,
+  CASE WHEN o_custkey % 5 = 0 THEN '{"broken' WHEN o_custkey % 5 = 1 THEN '{"snapshot":{"media_objects":[{"type":"photo"}]},"tweetResult":1}' WHEN o_custkey % 5 = 2 THEN '{"quoted_tweet":' || o_custkey || '}'
+   ELSE '{"raw":{"data":{"tweetResult":{"result":{"note_tweet":{"note_tweet_results":{"result":{"entity_set":{"urls":[{"expanded_url":"https://a/' || (o_custkey % 4) || '"},{}]}}}}}}}}}' END AS post, '["https://a/1","https://a/2"]' AS links FROM orders),
+links AS (SELECT l_orderkey AS item, l_partkey AS asset FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 4 <> 0),
+assets AS (SELECT p_partkey AS asset, CASE p_size % 4 WHEN 0 THEN 'downloaded' WHEN 1 THEN 'error' WHEN 2 THEN 'gone' ELSE 'downloaded' END AS status, p_size % 5 AS errors, CASE WHEN p_size % 2 = 0 THEN '' ELSE '2024-01-0' || (p_size % 9 + 1) || 'T00:00:00Z' END AS last_attempt,
+  CASE WHEN p_partkey % 2 = 0 THEN 'video' ELSE 'photo' END AS kind, CASE WHEN p_partkey % 3 = 0 THEN '/a.jpg' ELSE '/a.mp4' END AS path, 'https://other/' AS url FROM part),
+quotes AS (SELECT l_orderkey AS item, 'quoted_post' AS kind FROM lineitem WHERE l_returnflag = 'R'),
+f AS (SELECT item, source_type, status,
+  CASE WHEN json_valid(post) THEN json_extract_string(post, '$.snapshot.media_objects[0].type') IS NOT NULL ELSE false END AND (NOT EXISTS (SELECT 1 FROM links l WHERE l.item = items.item)
+   OR EXISTS (SELECT 1 FROM links l, assets a WHERE l.item = items.item AND a.asset = l.asset AND (a.status IN ('', 'pending') OR a.status = 'error' AND a.errors < 3 AND (a.last_attempt = '' OR a.last_attempt <= '2024-01-05T00:00:00Z')))
+   OR EXISTS (SELECT 1 FROM links l, assets a WHERE l.item = items.item AND a.asset = l.asset AND a.status = 'downloaded' AND a.kind IN ('video', 'animated_gif') AND (a.path LIKE '%.jpg' OR a.url LIKE 'https://pbs.twimg.com/%'))) AS media_repair,
+  contains(post, '"quoted_tweet"') AND NOT EXISTS (SELECT 1 FROM quotes q WHERE q.item = items.item AND q.kind = 'quoted_post') AS quote_repair,
+  source_type = 'x_quote' AND status = 'ok_graphql' AND NOT contains(post, '"tweetResult"') AS direct_repair,
+  contains(post, 'expanded_url') AND regexp_extract(post, 'https://a/[0-9]') NOT IN ('https://a/1', 'https://a/2') AS note_repair FROM items)
+SELECT item, media_repair, quote_repair, direct_repair, note_repair, status IN ('', 'api_error', 'error', 'rate_limited') OR starts_with(status, 'ok_') AND (media_repair OR quote_repair OR direct_repair OR note_repair) AS candidate FROM f""")
+def hydration_candidates(spark, folder):
+    """Posts to fetch again: by state, by their media, by quotes and addresses that are missing."""
+    orders, lines, part = table(spark, folder, "orders"), table(spark, folder, "lineitem"), table(spark, folder, "part")
+    key, size = F.col("o_custkey"), F.col("p_size")
+    note = F.concat(F.lit('{"raw":{"data":{"tweetResult":{"result":{"note_tweet":{"note_tweet_results":{"result":{"entity_set":{"urls":[{"expanded_url":"https://a/'), key % 4, F.lit('"},{}]}}}}}}}}}'))
+    post = F.when(key % 5 == 0, '{"broken').when(key % 5 == 1, '{"snapshot":{"media_objects":[{"type":"photo"}]},"tweetResult":1}').when(key % 5 == 2, F.concat(F.lit('{"quoted_tweet":'), key, F.lit("}"))).otherwise(note)
+    status = F.when(F.col("o_orderstatus") == "O", "ok_graphql").when(F.col("o_orderstatus") == "P", "error").otherwise("ok_web")
+    items = orders.select(F.col("o_orderkey").alias("item"), F.when(key % 3 == 0, "x_quote").otherwise("x_bookmark").alias("source_type"), status.alias("status"), post.alias("post"), F.lit('["https://a/1","https://a/2"]').alias("links"))
+    links = lines.where("l_linenumber = 1 and l_orderkey % 4 <> 0").select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("asset"))
+    state = F.when(size % 4 == 1, "error").when(size % 4 == 2, "gone").otherwise("downloaded")
+    last = F.when(size % 2 == 0, "").otherwise(F.concat(F.lit("2024-01-0"), size % 9 + 1, F.lit("T00:00:00Z")))
+    assets = part.select(F.col("p_partkey").alias("asset"), state.alias("status"), (size % 5).alias("errors"), last.alias("last_attempt"), F.when(F.col("p_partkey") % 2 == 0, "video").otherwise("photo").alias("kind"), F.when(F.col("p_partkey") % 3 == 0, "/a.jpg").otherwise("/a.mp4").alias("path"), F.lit("https://other/").alias("url"))
+    quotes = lines.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("item"), F.lit("quoted_post").alias("kind"))
+    return hydration.hydration(items, links, assets, quotes, "2024-01-06T00:00:00Z").drop("source_type", "status", "post", "links")
+
+
 @query("""
 SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')""")
 def quoted_repair(spark, folder):
