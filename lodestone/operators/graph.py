@@ -27,18 +27,21 @@ def grams(text: Column, most: int = 3, least_length: int = 3, stop: tuple[str, .
 def signal_clusters(df: DataFrame, key: str, text: Column, limit: int = 6, **rules) -> DataFrame:
     """Phrases of several rows: by rows, then words, then phrase; a phrase inside a chosen one of as many rows is left out.
 
-    The counts and their order are distributed; the greedy choice reads phrases in that order until it has `limit` of them, a partition of them at a time.
+    The counts and their order are distributed; the greedy choice reads the best 64 phrases, then eight times as many, and so on until it has `limit` of them or has seen all.
     """
     spark = df.sparkSession
-    counts = df.select(key, F.explode(grams(text, **rules)).alias("phrase")).groupBy("phrase").agg(F.count_distinct(key).alias("n")).where("n > 1")
-    words = F.size(F.split("phrase", " "))
-    chosen: list[tuple[str, int]] = []
-    for row in counts.orderBy(F.desc("n"), words.desc(), "phrase").toLocalIterator():
-        if not any(f" {row.phrase} " in f" {p} " and n >= row.n for p, n in chosen):
-            chosen.append((row.phrase, row.n))
-        if len(chosen) == limit:
-            break
-    return spark.createDataFrame(chosen, "phrase string, n long")
+    counts = df.select(key, F.explode(grams(text, **rules)).alias("phrase")).groupBy("phrase").agg(F.count_distinct(key).alias("n")).where("n > 1").persist()
+    best, most = counts.orderBy(F.desc("n"), F.size(F.split("phrase", " ")).desc(), "phrase"), 64
+    while True:
+        chosen: list[tuple[str, int]] = []
+        rows = best.limit(most).collect()
+        for row in rows:
+            if len(chosen) < limit and not any(f" {row.phrase} " in f" {p} " and n >= row.n for p, n in chosen):
+                chosen.append((row.phrase, row.n))
+        if len(chosen) == limit or len(rows) < most:
+            counts.unpersist()
+            return spark.createDataFrame(chosen, "phrase string, n long")
+        most *= 8
 
 
 def merged_entities(mentions: DataFrame) -> DataFrame:
@@ -55,22 +58,37 @@ def one_hop(seeds: DataFrame, edges: DataFrame, cap: int) -> DataFrame:
     return found.withColumn("r", rank).where(F.col("r") <= cap).select("seed", "neighbour", "n")
 
 
-def linked_classes(left: DataFrame, right: DataFrame, token: str) -> DataFrame:
-    """(left_key, class_id, links, shared) for each key of `left` (left_key, token): how many keys of `right` (right_key, token) share a token, and how many tokens all of them share.
+def _subsets(tokens: Column) -> Column:
+    """All sets of some of a few tokens, each in the tokens' order."""
+    bit = lambda m, i: m.bitwiseAND(F.call_function("shiftleft", F.lit(1), i)) > 0
+    return F.transform(F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size(tokens)) - 1), lambda m: F.filter(tokens, lambda _, i: bit(m, i)))
 
-    Keys with the same tokens are one class, named by its smallest key; classes meet on tokens, keys never do, so a token that all
-    rows have costs its classes alone.
-    """
 
-    def classes(rows: DataFrame, key: str, name: str) -> DataFrame:
-        by_key = rows.groupBy(key).agg(F.array_sort(F.collect_set(token)).alias("tokens"))
-        return by_key.withColumn(name, F.xxhash64("tokens"))
+def linked_classes(left: DataFrame, right: DataFrame, token: str, few: int = 8) -> DataFrame:
+    """(left_key, class_id, links, shared) for each key of `left` (left_key, token): how many keys of `right` (right_key, token) share a token, and how many tokens all of them share.
 
-    l, r = classes(left, "left_key", "lc"), classes(right, "right_key", "rc")
-    heads = l.groupBy("lc").agg(F.first("tokens").alias("tokens"), F.min("left_key").alias("class_id"))
-    many = r.groupBy("rc").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
-    met = heads.select("lc", F.explode("tokens").alias("t")).join(many.select("rc", "n", F.explode("tokens").alias("t")), "t").groupBy("lc", "rc", "n").agg(F.count(F.lit(1)).alias("common"))
-    sums = met.groupBy("lc").agg(F.sum("n").alias("links"), F.sum(F.col("n") * F.col("common")).alias("shared"))
-    found = l.select("left_key", "lc").join(heads.select("lc", "class_id").join(sums, "lc", "left"), "lc")
+    Keys with the same tokens are one class, named by its smallest key. Between keys of up to `few` tokens no pair is made: right keys are counted by
+    the sets of tokens that they hold, and a left class adds and subtracts the counts of its own sets (inclusion and exclusion), so a token that all rows
+    have costs 2^few rows for each class and no more. Classes with more tokens meet on tokens. Tokens that the left has not are left out first.
+    """
+    both = right.join(left.select(token).distinct(), token, "left_semi")
+
+    def by_key(rows: DataFrame, key: str) -> DataFrame:
+        return rows.groupBy(key).agg(F.array_sort(F.collect_set(token)).alias("tokens"))
+
+    l = by_key(left, "left_key")
+    heads = l.groupBy("tokens").agg(F.min("left_key").alias("class_id"))
+    many = by_key(both, "right_key").groupBy("tokens").agg(F.min("right_key").alias("other"), F.count(F.lit(1)).alias("n"))
+    holders = many.select(F.explode("tokens").alias("t"), "n").groupBy("t").agg(F.sum("n").alias("n"))
+    shared = heads.select("class_id", F.explode("tokens").alias("t")).join(holders, "t").groupBy("class_id").agg(F.sum("n").alias("shared"))
+    short = F.size("tokens").between(1, few)
+    counted = many.where(short).select(F.explode(_subsets(F.col("tokens"))).alias("s"), "n").groupBy("s").agg(F.sum("n").alias("n"))
+    asked = heads.where(short).select("class_id", F.explode(_subsets(F.col("tokens"))).alias("s"))
+    added = asked.join(counted, "s").select("class_id", F.when(F.size("s") % 2 == 1, F.col("n")).otherwise(-F.col("n")).alias("n"))
+    a = heads.select("class_id", short.alias("_short"), F.explode("tokens").alias("t"))
+    b = many.select("other", "n", short.alias("_few"), F.explode("tokens").alias("t"))
+    met = a.join(b, "t").where("not (_short and _few)").select("class_id", "other", "n").distinct().select("class_id", "n")
+    links = added.unionByName(met).groupBy("class_id").agg(F.sum("n").alias("links"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return found.select("left_key", "class_id", zero("links"), zero("shared"))
+    found = heads.join(links, "class_id", "left").join(shared, "class_id", "left")
+    return l.join(found, "tokens").select("left_key", "class_id", zero("links"), zero("shared"))

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import empty_page
+
 #: Fields in the order in which a term is looked for, and what it counts there.
 FIELD_WEIGHTS = {"title": 12, "tags": 10, "summary": 8, "author": 6, "excerpt": 5, "url": 2, "full_text": 4}
 #: Words that stand for another in questions.
@@ -18,13 +20,6 @@ CANONICAL = {
     "historical": "history", "transcripts": "transcript", "screenshots": "screenshot", "images": "image", "photos": "photo",
     "videos": "video", "recordings": "recording",
 }
-#: Short extracts with one of these hold no article.
-SHELL_PHRASES = (
-    "redirecting", "you will be redirected", "if you are not redirected automatically", "loading...", "coming soon", "<div></div>",
-    "we use cookies to improve user experience", "nothing to see here", "google drive", "your browser does not support frames",
-    "click here to enter the site", "sign in or sign up", "you are not logged in", "manage account", "your profile",
-    "continue with google", "continue with github", "open full screen to view more", "google apps",
-)
 
 
 def _sum(columns) -> Column:
@@ -146,8 +141,7 @@ def refreshed(index: DataFrame, changed: DataFrame, removed: DataFrame, key: str
 def poor_summary(extract_status: Column, summary_status: Column, tool: Column, extract: Column) -> Column:
     """A good summary of what was no article: an empty extract, a short archived one, or a page that says it is none."""
     text = F.trim(extract)
-    phrase = reduce(lambda a, b: a | b, (F.contains(F.lower(text), F.lit(p)) for p in SHELL_PHRASES))
-    short = ((tool == "wayback") & (F.length(text) < 500)) | ((F.length(text) <= 300) & phrase)
+    short = ((tool == "wayback") & (F.length(text) < 500)) | empty_page(extract)
     return (summary_status == "ok") & ((extract_status == "empty") | ((extract_status == "ok") & short))
 
 

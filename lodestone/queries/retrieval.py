@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import markup as M
+from lodestone.functions.text import EMPTY_PAGE_PHRASES
 from lodestone.operators import evidence as E
 from lodestone.operators import retrieval as R
 from lodestone.operators import search
@@ -129,7 +130,7 @@ def child_links(spark, folder):
 
 
 @query(f"""
-SELECT doc_id, s <> 'new' AND (e = 'empty' OR (w AND length(trim(t)) < 500) OR (length(trim(t)) <= 300 AND ({' OR '.join(f"contains(lower(trim(t)), '{p}')" for p in R.SHELL_PHRASES)}))) AS poor
+SELECT doc_id, s <> 'new' AND (e = 'empty' OR (w AND length(trim(t)) < 500) OR (length(trim(t)) <= 300 AND ({' OR '.join(f"contains(lower(trim(t)), '{p}')" for p in EMPTY_PAGE_PHRASES)}))) AS poor
 FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'new' ELSE 'ok' END AS s, CASE WHEN doc_id % 11 = 0 THEN 'empty' ELSE 'ok' END AS e, doc_id % 7 = 0 AS w, CASE WHEN doc_id % 2 = 0 THEN text ELSE substr(text, 1, 200) || ' Loading...' END AS t FROM documents)""")
 def poor_summaries(spark, folder):
     """Summaries of pages that were no articles."""

@@ -42,8 +42,10 @@ def write_snapshot(df: DataFrame, path: str, partition_by: list[str] | None = No
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def json_lines(spark: SparkSession, path: str, schema: str, newest: str | None = None, limit: int = 100_000) -> DataFrame:
-    """JSON lines; malformed lines go. With `newest`, only the newest `limit` rows, newest first."""
+def json_lines(spark: SparkSession, path: str, schema: str, newest: str | None = None, limit: int | None = None) -> DataFrame:
+    """JSON lines; malformed lines go. With `newest`, only the newest `limit` rows, newest first; both are given or neither."""
+    if (newest is None) != (limit is None):
+        raise ValueError("newest and limit go together")
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
     return rows.orderBy(F.col(newest).desc()).limit(limit) if newest else rows
 
