@@ -16,12 +16,15 @@ def link_candidates(df: DataFrame, key: str, urls: str) -> DataFrame:
 
 def grams(text: Column, most: int = 3, least_length: int = 3, stop: tuple[str, ...] = ()) -> Column:
     """Distinct runs of one to `most` words, stop words and short words left out first."""
-    words = F.filter(tokens(text), lambda w: (F.length(w) >= least_length) & (~w.isin(*stop) if stop else F.lit(True)))
+    kept = F.filter(tokens(text), lambda w: (F.length(w) >= least_length) & (~w.isin(*stop) if stop else F.lit(True)))
 
-    def runs(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.when(i + (n - 1) <= F.size(words), F.array_join(F.slice(words, i, n), " ")))
+    def whole(words: Column) -> Column:
+        def runs(n: int) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.when(i + (n - 1) <= F.size(words), F.array_join(F.slice(words, i, n), " ")))
 
-    return F.filter(F.array_distinct(F.concat(*(runs(n) for n in range(1, most + 1)))), lambda g: g.isNotNull())
+        return F.filter(F.array_distinct(F.concat(*(runs(n) for n in range(1, most + 1)))), lambda g: g.isNotNull())
+
+    return F.transform(F.array(kept), whole)[0]  # the words are taken once, not for each place
 
 
 def signal_clusters(df: DataFrame, key: str, text: Column, limit: int = 6, **rules) -> DataFrame:
