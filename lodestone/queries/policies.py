@@ -166,7 +166,7 @@ _WINDOWS = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, lower(coalesce(text, '')) AS low FROM documents),
 p AS (SELECT doc_id, term, piece, k, length(term) AS n FROM (SELECT doc_id, term, unnest(string_split(low, term)) AS piece, generate_subscripts(string_split(low, term), 1) AS k FROM d, (VALUES ('licensed'), ('under'), ('token')) AS v(term))),
 h AS (SELECT doc_id, term, n, k, max(k) OVER (PARTITION BY doc_id, term) - 1 AS often, sum(length(piece) + n) OVER (PARTITION BY doc_id, term ORDER BY k) - n AS pos FROM p),
-w AS (SELECT h.doc_id, h.n, greatest(least(pos - 40, length(low) - 160), 0) AS start, low FROM h JOIN d USING (doc_id) WHERE k <= often),
+w AS (SELECT DISTINCT h.doc_id, h.n, greatest(least(pos - 40, length(low) - 160), 0) AS start, low FROM h JOIN d USING (doc_id) WHERE k <= often),
 c AS (SELECT DISTINCT doc_id, term, n, often FROM h),
 s AS (SELECT w.doc_id, w.start, w.n + sum(CASE WHEN contains(substr(low, CAST(start AS BIGINT) + 1, 160), c.term) THEN 100 + 1000 // greatest(often, 1) + c.n ELSE 0 END) AS score FROM w JOIN c USING (doc_id) GROUP BY w.doc_id, w.start, w.n, w.low),
 b AS (SELECT doc_id, CAST(max(score) AS INT) AS score, CAST(arg_min(start, (-score, start)) AS BIGINT) AS start FROM s GROUP BY doc_id)"""

@@ -61,7 +61,7 @@ d AS (SELECT doc_id, x AS text, lower(x) AS low FROM (SELECT doc_id, trim(regexp
 p AS (SELECT doc_id, term, length(term) AS m, unnest(string_split(low, term)) AS piece, generate_subscripts(string_split(low, term), 1) AS k FROM d, (VALUES {', '.join(f"('{t}')" for t in words)}) AS v(term)),
 h AS (SELECT doc_id, term, m, k, max(k) OVER (PARTITION BY doc_id, term) - 1 AS often, sum(length(piece) + m) OVER (PARTITION BY doc_id, term ORDER BY k) - m AS pos FROM p),
 c AS (SELECT DISTINCT doc_id, term, m, often FROM h),
-g AS (SELECT h.doc_id, CAST(greatest(least(pos - {most // 4}, length(low) - {most}), 0) AS BIGINT) AS start, h.m, low FROM h JOIN d USING (doc_id) WHERE k <= often),
+g AS (SELECT DISTINCT h.doc_id, CAST(greatest(least(pos - {most // 4}, length(low) - {most}), 0) AS BIGINT) AS start, h.m, low FROM h JOIN d USING (doc_id) WHERE k <= often),
 b AS (SELECT doc_id, arg_min(start, (-score, start)) AS start FROM (SELECT g.doc_id, start, g.m + sum(CASE WHEN contains(substr(low, start + 1, {most}), c.term) THEN 100 + 1000 // greatest(often, 1) + c.m ELSE 0 END) AS score FROM g JOIN c USING (doc_id) GROUP BY g.doc_id, start, g.m, low) GROUP BY doc_id)
 SELECT doc_id, round(score, 9) AS score, {', '.join(f'lane{j}_rank' for j in range(len(lanes)))}, CASE WHEN start > 0 THEN '...' ELSE '' END || trim(substr(text, start + 1, {most})) || CASE WHEN start + {most} < length(text) THEN '...' ELSE '' END AS excerpt FROM f JOIN d USING (doc_id) JOIN b USING (doc_id)"""
 
