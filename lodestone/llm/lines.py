@@ -6,16 +6,20 @@ what is left.
 
 For one edit a line is cut into two segments. Two lines within one edit share a segment at a place that their lengths
 allow, so each line stores its segments by length and probes, for its own length and one less, the substrings that can match.
-Keys with one line go no further; pairs from the others are verified by a banded, bit-parallel edit distance. A key that more than `crowded` lines share is
-not paired: its lines meet by what is left when one character is taken out. Lines of one length that leave the same at the same place
-all are within one substitution, so the earliest stands for all; a line that is what another leaves is one insertion away.
-That way is exact and has as many rows as the lines have characters.
+Keys with one line go no further. The lines of a key that many share are not paired: what is left of them beside the shared segment, the
+window, is cut into two in turn, and they meet by the key and one half of the window, level by level, until few share a key.
+Windows are cut, never joined again, so that all windows of a level hold twice the text at most, stored and probing, and a line takes as many
+levels as its length has binary digits. At windows of one character all lines that share a key are within one substitution of each other,
+and the earliest stands for all; at windows of none a single line is left, with those that have one character more.
+Whatever the way, a pair counts only if a banded, bit-parallel edit distance of both whole lines says so.
 
 Null and empty texts have no lines. Null doc_ids sort first. Rows that share a doc_id are told apart by nothing else and share their decisions.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +31,8 @@ SPACES = " \t\n\x0b\x0c\r"
 KNOWN = 1_000_000
 #: Occurrences of a line that one task takes from the join with its decision.
 HOT = 10_000
+#: Characters of a window up to which the lines of a key are paired and their windows compared; longer ones pair if they are FEW.
+WINDOW, FEW = 256, 4
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -37,13 +43,13 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def segment_keys(line: Column) -> Column:
-    """(key, probe) of a line: two stored segments, then the substrings that may equal a stored one of a line as long or one shorter."""
+    """(key, probe, n) of a line: two stored segments, then the substrings that may equal a stored one of a line of n, as long or one shorter."""
     n = F.length(line)
     half = F.floor(n / 2).cast("int")
     less = F.floor((n - 1) / 2).cast("int")
 
     def key(length: Column, side: int, part: Column, probe: int) -> Column:
-        return F.struct(F.xxhash64(length, F.lit(side), part).alias("key"), F.lit(probe).alias("probe"))
+        return F.struct(F.xxhash64(length, F.lit(side), part).alias("key"), F.lit(probe).alias("probe"), length.alias("n"))
 
     def at(begin: Column, size: Column) -> Column:
         return F.substring(line, begin, size)
@@ -57,22 +63,87 @@ def segment_keys(line: Column) -> Column:
     )
 
 
-def near_pairs(lines: DataFrame, least: int, crowded: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b) of hashes of lines that share a key which few share, and (h) of the lines that have a key which more than `crowded` share.
+def halves(context: Column, window: Column, probe: Column) -> Column:
+    """(key, window) twice: the context with the first half of a window and what is left, then with the last half.
+
+    A stored window has m characters, the window of a probing line one more; both give away what m characters have in a half. One
+    character is given away at either side. With a line's length as context these are its `segment_keys`.
+    """
+    n = F.length(window)
+    m = n - probe
+    head = F.greatest(F.floor(m / 2).cast("int"), F.least(m, F.lit(1)))
+    tail = m - F.floor(m / 2).cast("int")
+
+    def child(side: int, part: Column, rest: Column) -> Column:
+        return F.struct(F.xxhash64(context, F.lit(side), part).alias("key"), rest.alias("window"))
+
+    def cut(begin: Column, size: Column) -> Column:
+        return F.substring(window, begin, size)
+
+    one = F.lit(1)
+    return F.array(child(0, cut(one, head), cut(head + 1, n - head)), child(1, cut(n - tail + 1, tail), cut(one, n - tail)))
+
+
+def _many(crowded: int, window: int) -> Column:
+    """Whether the lines of a key go a level deeper: few long ones do, so that a pair's texts travel a few times at most."""
+    return (F.col("size") > crowded) | (F.col("size") > FEW) & (F.col("n") > window)
+
+
+def _pairs(stored: DataFrame, held: str) -> DataFrame:
+    """(x, y) of a key's lines: stored ones of one length, and stored ones with those that probe."""
+    return stored.select("a", F.explode(held).alias("b")).where("b.h <> a.h and (b.probe = 1 or b.h > a.h)")
+
+
+def near_pairs(lines: DataFrame, least: int, crowded: int) -> DataFrame:
+    """(a, b) of hashes of lines that may be within one edit: each line meets the earliest of those that are, if not all.
 
-    Keys are counted before they meet, so that no crowded key is ever gathered. Lines of one length pair by stored segments, others store against probe.
+    Keys are counted before they meet, so that no crowded key is ever gathered.
     """
+    if least < 2:
+        raise ValueError("a line of one character is within one edit of any other: least is 2 or more")
     distinct = lines.where(F.length("line") >= least).groupBy("line").agg(F.first("h").alias("h"))
-    keys = materialise(distinct.select("h", F.explode(segment_keys(F.col("line"))).alias("k")).select("k.key", "k.probe", "h"), "keys")
-    sizes = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-    full = small(sizes.where(F.col("size") > crowded).select("key"), KNOWN)
-    crowd = materialise(keys.join(full, "key", "left_semi").select("h").distinct(), "crowd")
-    shared = keys.join(full, "key", "left_anti").join(sizes.where(F.col("size") <= crowded).select("key"), "key", "left_semi")
+    keys = materialise(distinct.select("h", F.explode(segment_keys(F.col("line"))).alias("k")).select("k.*", "h"), "keys")
+    sizes = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("n").alias("n"), F.min("probe").alias("stored")).where("size > 1 and stored = 0"), "sizes")
+    deeper = _many(crowded, 2 * WINDOW)
+    full = small(sizes.where(deeper).select("key"), KNOWN)
+    shared = keys.join(full, "key", "left_anti").join(sizes.where(~deeper).select("key"), "key", "left_semi")
     few = shared.groupBy("key").agg(F.collect_list(F.struct("probe", "h")).alias("held"))  # crowded at most
-    stored = few.select(F.col("held"), F.explode(F.filter("held", lambda x: x["probe"] == 0)).alias("a"))
-    pairs = stored.select(F.col("a.h").alias("x"), F.explode("held").alias("b")).where("b.h <> x and (b.probe = 1 or b.h > x)").select("x", F.col("b.h").alias("y"))
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return materialise(pairs, "pairs"), crowd
+    stored = few.select("held", F.explode(F.filter("held", lambda x: x["probe"] == 0)).alias("a"))
+    found = [_pairs(stored, "held").select(F.col("a.h").alias("x"), F.col("b.h").alias("y"))]
+
+    crowd = small(materialise(keys.join(full, "key", "left_semi").select("h").distinct(), "crowd"), KNOWN)
+    texts = lines.join(crowd, "h", "left_semi").where(F.length("line") >= least).groupBy("line").agg(F.first("h").alias("h"), F.min(F.struct("doc_id", "no")).alias("first"))
+    both = F.explode(F.array(F.lit(0), F.lit(1))).alias("probe")
+    cut = texts.select("h", "first", "line", both).select("h", "first", "probe", F.explode(halves(F.length("line") - F.col("probe"), F.col("line"), F.col("probe"))).alias("k"))
+    level = materialise(cut.select("k.*", "h", "first", "probe").join(full, "key", "left_semi"), "level")
+    while not level.isEmpty():
+        more, level = _deeper(level, crowded)
+        found.append(more)
+    pairs = functools.reduce(DataFrame.union, found)
+    return materialise(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+
+
+def _deeper(level: DataFrame, crowded: int) -> tuple[DataFrame, DataFrame]:
+    """(x, y) of lines that meet at half the windows of a level (key, window, h, first, probe), and the level of those that too many share."""
+    size = F.length("window") - F.col("probe")
+    ends = level.where(size == 0)  # a line, and those that have one character more here
+    ends = ends.where("probe = 0").select("key", F.col("h").alias("x")).join(ends.where("probe = 1").select("key", F.col("h").alias("y")), "key").select("x", "y")
+    classes = level.where((size == 1) & (F.col("probe") == 0))
+    heads = classes.groupBy("key").agg(F.min_by("h", F.struct("first", "h")).alias("x"))
+    classes = classes.select("key", F.col("h").alias("y")).join(heads, "key").where("x <> y").select("x", "y")
+
+    cut = level.where(size > 0).select("h", "first", "probe", F.explode(halves(F.col("key"), F.col("window"), F.col("probe"))).alias("k"))
+    cut = materialise(cut.select("k.*", "h", "first", "probe"), "windows")
+    sizes = cut.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max(F.length("window")).alias("n"), F.min("probe").alias("stored")).where("size > 1 and stored = 0")
+    sizes = materialise(sizes.withColumn("deeper", _many(crowded, WINDOW)), "sizes")
+    full = small(sizes.where("deeper").select("key"), KNOWN)
+    few = cut.join(sizes.where("not deeper").select("key"), "key", "left_semi")
+    window = F.when(F.length("window") <= WINDOW + 1, F.col("window")).alias("window")  # of longer ones only the whole lines are compared
+    few = few.groupBy("key").agg(F.collect_list(F.struct("probe", "h", window)).alias("held"))
+    stored = few.select("held", F.explode(F.filter("held", lambda x: x["probe"] == 0)).alias("a"))
+    near = F.coalesce(F.levenshtein("a.window", "b.window", 1) >= 0, F.lit(True))
+    met = _pairs(stored, "held").where(near).select(F.col("a.h").alias("x"), F.col("b.h").alias("y"))
+    return materialise(ends.union(classes).union(met), "met"), materialise(cut.join(full, "key", "left_semi"), "level")
 
 
 def banded_distance(a: Column, b: Column, most: int) -> Column:
@@ -129,10 +200,10 @@ def banded_distance(a: Column, b: Column, most: int) -> Column:
 
 
 def alike(docs: DataFrame, least: int = 20, crowded: int = 128) -> DataFrame:
-    """(h, g, earlier): lines that have an earlier line within one edit, not equal, and where the earliest found of those stands."""
+    """(h, g, earlier): lines that have an earlier line within one edit, not equal, and where the earliest of those stands. `crowded` changes the way, never the result."""
     lines = lines_of(docs)
-    pairs, crowd = near_pairs(lines, least, crowded)
-    ends = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).union(crowd).distinct()
+    pairs = near_pairs(lines, least, crowded)
+    ends = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
     ends = small(materialise(ends, "ends"), KNOWN)
     texts = lines.join(ends, "h").groupBy("h", "g", "line").agg(F.min(F.struct("doc_id", "no")).alias("first"))
     texts = materialise(texts, "texts")
@@ -141,21 +212,7 @@ def alike(docs: DataFrame, least: int = 20, crowded: int = 128) -> DataFrame:
     close = pairs.join(a, "a").join(b, "b").where(banded_distance(F.col("u.line"), F.col("v.line"), 1) == 1)
     after = F.col("u.first") > F.col("v.first")
     late = close.select(F.when(after, F.col("u")).otherwise(F.col("v")).alias("w"), F.when(after, F.col("v.first")).otherwise(F.col("u.first")).alias("earlier")).select("w.h", "w.g", "earlier")
-    return late.union(_late_in_crowd(texts.join(crowd, "h", "left_semi"))).groupBy("h", "g").agg(F.min("earlier").alias("earlier"))
-
-
-def _late_in_crowd(texts: DataFrame) -> DataFrame:
-    place = F.explode(F.sequence(F.lit(1), F.length("line"))).alias("i")
-    left = texts.select("h", "g", "first", F.length("line").alias("n"), "line", place)
-    left = left.select("h", "g", "first", "n", "i", F.concat(F.substring(F.col("line"), F.lit(1), F.col("i") - 1), F.substring(F.col("line"), F.col("i") + 1, F.col("n"))).alias("rest"))
-    left = left.select("h", "g", "first", F.xxhash64("n", "i", "rest").alias("same"), F.xxhash64("rest").alias("rest"))
-    heads = left.groupBy("same").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    replaced = left.join(heads, "same").where("first > head").select("h", "g", "head")
-    shorter = texts.select(F.col("h").alias("rest"), F.struct("h", "g", "first").alias("s"))
-    grown = left.select("h", "g", "first", "rest").distinct().join(shorter, "rest")
-    longer = grown.where("first > s.first").select("h", "g", "s.first")
-    shortened = grown.where("first < s.first").select("s.h", "s.g", "first")
-    return replaced.union(longer).union(shortened)
+    return late.groupBy("h", "g").agg(F.min("earlier").alias("earlier"))
 
 
 def line_decisions(docs: DataFrame, least: int = 20, crowded: int = 128) -> DataFrame:

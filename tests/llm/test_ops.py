@@ -194,7 +194,7 @@ def line_decisions(rows, least=20):
     return {(i, n): first[line] != (i, n) or line in late for i, n, line in occurrences}
 
 
-@pytest.mark.parametrize("crowded", [128, 1])
+@pytest.mark.parametrize("crowded", [128, 4, 1])
 def test_lines(spark, docs, rows, empty, crowded):
     extra = [(5000 + i, "a long line with a letter " + c + " in it\n" + "x" * i) for i, c in enumerate("abcdefgh")] + [(6000, "a long line with a letter  in it")]
     more = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
@@ -220,6 +220,32 @@ def test_lines_keep_columns_of_any_name(spark, monkeypatch):
     assert sorted((r.doc_id or -1, r.text, r.deal) for r in got.collect()) == [(-1, "a common line of the texts!", 9), (1, "x", 9), *((i, "", 9) for i in range(2, 10))]
 
 
+@pytest.mark.parametrize("crowded", [1, 8])
+def test_lines_that_share_almost_all(spark, crowded):
+    """Substitutions, insertions and deletions at every place of a line, long and short, and letters beyond the basic plane."""
+    rng = random.Random(11)
+    base = "".join(rng.choice("abcdé\U0001f600") for _ in range(23))
+    held = [base] + [base[:i] + c + base[i + 1 :] for i in range(23) for c in "xy"] + [base[:i] + "z" + base[i:] for i in range(24)] + [base[:i] + base[i + 1 :] for i in range(23)]
+    held += [base[:5] + chr(0x4E00 + i) + base[6:] for i in range(40)] + [base[:9] + chr(0x4E00 + i) + base[9:] for i in range(40)]
+    long = "".join(rng.choice("abcdef ") for _ in range(1500)) + "."
+    held += [long[:i] + "#" + long[i + 1 :] for i in range(3, 1500, 150)] + [long[:i] + "#" + long[i:] for i in range(5, 1500, 150)] + [long[:i] + "##" + long[i:] for i in range(5, 1500, 300)]
+    rng.shuffle(held)
+    rows = [(i // 7, "\n".join(held[i : i + 7])) for i in range(0, len(held), 7)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = lines.line_decisions(frame, crowded=crowded).collect()
+    assert {(r.doc_id, r.no): r.removed for r in found} == line_decisions(rows)
+
+
+def test_equal_hashes_remove_no_line(spark, monkeypatch):
+    """Keys that collide make candidates, never decisions."""
+    monkeypatch.setattr(lines, "halves", lambda context, window, probe, real=lines.halves: F.transform(real(context, window, probe), lambda k: F.struct(F.pmod(k["key"], F.lit(4)).alias("key"), k["window"].alias("window"))))
+    keys = lines.segment_keys
+    monkeypatch.setattr(lines, "segment_keys", lambda line: F.transform(keys(line), lambda k: F.struct(F.pmod(k["key"], F.lit(4)).alias("key"), k["probe"].alias("probe"), k["n"].alias("n"))))
+    rows = [(i, f"{chr(97 + i) * 12} another line {chr(98 + i) * 12}") for i in range(20)]
+    found = lines.line_decisions(spark.createDataFrame(rows, "doc_id long, text string"), crowded=1).collect()
+    assert len(found) == 20 and not any(r.removed for r in found)
+
+
 @pytest.mark.parametrize("most", [1, 2, 3])
 def test_banded_distance(spark, most):
     rng, pairs = random.Random(4), [("", ""), ("a", ""), ("", "abc")]
