@@ -4,8 +4,10 @@ Each distinct set of shingles has two independent fingerprints of 64 bits. Sets
 fewer (`probing`, with partitions and thresholds of `simhash.plan` for each) and both together in `wide` or fewer; pairs are then
 held against each other on their whole sets, and those of `percent` or more link. Nodes with many partners are asked again for those of other
 components (`probing`), and their pairs are checked as lists, by tasks that hold the sets of two blocks of nodes. Links are exact. What they may miss are pairs
-whose fingerprints lie further apart than their sets: with 14 bits and 40, of pairs of just 0.8 some three in a thousand, of 0.85 hardly any; sets of
-under ten shingles scatter more.
+whose fingerprints lie further apart than their sets: with 14 bits and 40, of pairs of just 0.8 some three in a thousand, of 0.85 hardly any.
+
+Fingerprints of small sets scatter more, so these have an exact way (`small_pairs`): pairs of 0.8 that have fewer than twelve shingles in common differ in two at
+most, and meet by what is left of each when one or two are taken out. Sets that leave the same are alike through one of them.
 
 Sets are of 64-bit hashes; equal hashes count as equal shingles.
 """
@@ -15,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import Rolling, bounded, materialise, mix, pieces, signed, small, utf8, word_bounds, word_hashes
@@ -26,6 +28,8 @@ from lodestone.llm.simhash import components, plan
 IN_TASK = 4_000_000
 #: Bytes of sets in a block.
 CELL_BYTES = 16 << 20
+#: Shingles of a set up to which it also meets others by what is left of it without one or two.
+SMALL = 13
 #: Documents that are read again by a broadcast of their ids, 8 MB; beyond it the join shuffles.
 KNOWN = 1_000_000
 
@@ -69,7 +73,7 @@ def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, node, n, fp0, fp1) for each row: the set's name, its size and two fingerprints."""
+    """(doc_id, node, n, fp0, fp1, few) for each row: the set's name, its size, two fingerprints, and its hashes if it is small."""
 
     def run(batches):
         for batch in batches:
@@ -78,9 +82,10 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 sizes = np.array([len(x) for x in found], np.int64)
                 hashes = np.concatenate([*found, np.zeros(0, np.int64)]).view(np.uint64)
                 prints = [majority(x, sizes) for x in (hashes, mix(hashes ^ np.uint64(0x9E3779B97F4A7C15)))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([_digest(x) for x in found], pa.int64()), pa.array(sizes), *map(pa.array, prints)], names=["doc_id", "node", "n", "fp0", "fp1"])
+                few = pa.array([x if len(x) <= SMALL else None for x in found], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([_digest(x) for x in found], pa.int64()), pa.array(sizes), *map(pa.array, prints), few], names=["doc_id", "node", "n", "fp0", "fp1", "few"])
 
-    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node long, n long, fp0 long, fp1 long")
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node long, n long, fp0 long, fp1 long, few array<long>")
 
 
 def sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -97,6 +102,33 @@ def sets(docs: DataFrame, shingle: int) -> DataFrame:
     return bounded(docs).select("text").mapInArrow(run, "node long, hashes array<long>")
 
 
+def small_pairs(held: DataFrame, percent: int) -> DataFrame:
+    """(a, held, more) as of `probing.search`: small sets (node, few) that may be alike as one or two shingles out of each leave the same.
+
+    What is left is named by its hashes under exclusive or, so that each shingle is taken out in one step. Of the sets that leave the same,
+    one that is it stands for all, else the first of those with one shingle more: with c left, i and j taken out of two sets, they
+    are alike if c is `percent` of c + i + j or more, and all that are so with each other are so with it. A key of any number of sets makes as many pairs.
+    """
+
+    def alike_with(out: Column, left: Column) -> Column:
+        return left * 100 >= (left + out) * percent
+
+    name = F.aggregate("few", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(x))
+    n = F.size("few")
+
+    def left(name: Column, out: int) -> Column:
+        return F.struct(name.alias("name"), (n - out).alias("left"), F.lit(out).alias("out"))
+
+    without = F.transform("few", lambda x: F.col("name").bitwiseXOR(x))
+    twice = F.flatten(F.transform("few", lambda x, i: F.transform(F.slice("few", i + 2, F.lit(SMALL)), lambda y: F.col("name").bitwiseXOR(x).bitwiseXOR(y))))
+    made = [F.array(left(F.col("name"), 0)), F.transform(without, lambda x: left(x, 1)), F.transform(twice, lambda x: left(x, 2))]
+    made = [F.filter(keys, lambda k: alike_with(F.greatest(k["out"], F.lit(1)), k["left"])) for keys in made]  # no partner can be alike otherwise
+    keys = materialise(held.where("few is not null").select("node", "few", name.alias("name")).select("node", F.explode(F.concat(*made)).alias("k")).select("k.*", "node"), "left")
+    heads = keys.groupBy("name", "left").agg(F.min(F.struct("out", "node")).alias("head"), F.count(F.lit(1)).alias("sets")).where((F.col("sets") > 1) & alike_with(2 * F.col("head.out"), F.col("left")))  # the others have as many out
+    met = keys.join(heads, ["name", "left"]).where((F.col("node") != F.col("head.node")) & alike_with(F.col("out") + F.col("head.out"), F.col("left")))
+    return met.select("node", F.col("head.node").alias("b")).distinct().select(F.col("node").alias("a"), F.array("b").alias("held"), F.lit(False).alias("more"))
+
+
 def whole_sets(docs: DataFrame, held: DataFrame, found: DataFrame, shingle: int) -> DataFrame:
     """(node, hashes) of all nodes in `found` (a, held), read again from the first document of each."""
 
@@ -127,16 +159,19 @@ def _one_by_one(whole: DataFrame, found: DataFrame, percent: int) -> DataFrame:
 
 
 def _in_cells(whole: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """The same for many pairs a node: nodes are dealt to blocks of CELL_BYTES, and a task holds the sets of two blocks and checks the pairs between them."""
+    """The same for many pairs a node: nodes are dealt to blocks of CELL_BYTES, and a task holds of the sets of two blocks those that pairs between them name, and checks these.
+
+    A set goes to the cells that some pair of it names, no others: to as many as it has partners at most.
+    """
     total = whole.agg(F.sum(F.size("hashes").cast("long") * 8 + 64)).first()[0] or 0
     blocks = max(4, -(-total // CELL_BYTES))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    own = block("node")
-    cells = F.array_distinct(F.concat(F.transform(every, lambda j: own * blocks + j), F.transform(every, lambda j: j * blocks + own)))
-    stored = whole.select(F.explode(cells).alias("cell"), F.lit(0).alias("kind"), "node", F.col("hashes").alias("list"))
     parted = F.filter(F.transform(every, lambda j: F.struct(j.alias("j"), F.filter("held", lambda b: block(b) == j).alias("list"))), lambda x: F.size(x["list"]) > 0)
     asked = found.select("a", F.explode(parted).alias("p")).select((block("a") * blocks + F.col("p.j")).alias("cell"), F.lit(1).alias("kind"), F.col("a").alias("node"), F.col("p.list").alias("list"))
+    asked = materialise(asked, "asked")
+    named = asked.select("cell", F.explode(F.concat(F.array("node"), "list")).alias("node")).distinct()  # combined by each task first
+    stored = named.join(whole, "node").select("cell", F.lit(0).alias("kind"), "node", F.col("hashes").alias("list"))
     dealt = stored.union(asked).repartition(int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell").sortWithinPartitions("cell", "kind")
 
     def run(batches):
@@ -185,13 +220,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, distan
     their own. Other columns of `docs` are not read.
     """
     marked = materialise(sketches(docs, shingle), "sketches")
-    held = materialise(marked.groupBy("node").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("n", "fp0", "fp1"))), "distinct")
+    held = materialise(marked.groupBy("node").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("n", "fp0", "fp1", "few"))), "distinct")
     n = held.count()
     parts = [(table, bits, most) for table in (0, 1) for bits, most in plan(held.select(F.col(f"fp{table}").alias("fp")), distance)]
     nodes = held.select("node", "n", F.col("node").alias("root"), F.lit(True).alias("asks"), "fp0", "fp1")
     links, roots, first = None, None, True
     while True:
         found = search(nodes, parts, 2, n, distance, wide, percent, emit, first)
+        if first:
+            found = materialise(found.unionByName(small_pairs(held, percent)), "found")
         whole = whole_sets(docs, held, found, shingle)
         more = materialise((_one_by_one if first else _in_cells)(whole, found, percent), "links")
         links = more if links is None else links.union(more)

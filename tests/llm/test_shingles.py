@@ -31,7 +31,7 @@ def groups(rows):
 
     for a in held:
         for b in held:
-            if a < b and alike(held[a], held[b]) and (x := find(a)) != (y := find(b)):
+            if a < b and 4 * len(held[a]) <= 5 * len(held[b]) and 4 * len(held[b]) <= 5 * len(held[a]) and alike(held[a], held[b]) and (x := find(a)) != (y := find(b)):
                 root[max(x, y)] = min(x, y)
     return {i: find(i) for i in held}
 
@@ -64,6 +64,47 @@ def test_near_duplicates(spark, docs, rows, empty, edited, emit):
         assert near.near_duplicates(empty).count() == 0
 
 
+def test_small_sets_lose_no_link(spark, monkeypatch):
+    """Texts of 1 to 17 words that begin or end otherwise, with the exact way alone."""
+    rng = random.Random(5)
+    texts = ["", "one", "one two"]
+    for n in range(4, 18):
+        for _ in range(4):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            for begin in ([], ["a"], ["b"], ["a", "b"]):
+                texts += [" ".join([*begin, *middle, *end]) for middle in (base, base[1:], base[:-1]) for end in ([], ["c"], ["d"], ["d", "e"])]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts, 1))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = near.sketches(frame, 5).groupBy("node").agg(F.min("doc_id").alias("first"), F.first("few").alias("few"))
+    found = near.small_pairs(held, 80)
+    first = {r.node: r["first"] for r in held.collect()}
+    root = {i: i for i in first.values()}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in near._one_by_one(near.whole_sets(frame, held, found, 5), found, 80).collect():
+        x, y = find(first[r.a]), find(first[r.b])
+        root[max(x, y)] = min(x, y)
+    few = [i for i in root if len(shingles(texts[i - 1])) < 12]
+    for a in few:
+        for b in root:
+            assert find(a) == find(b) or not alike(shingles(texts[a - 1]), shingles(texts[b - 1]))
+    assert len({find(i) for i in few}) < len(few) / 2
+    assert found.count() <= sum(r.n for r in held.select((F.size("few") + 78).alias("n")).where("n > 0").collect())
+    assert {r.doc_id: r.component_id for r in near.near_duplicates(frame).collect()} == groups(rows)
+
+
+def test_recall_on_whole_table(spark):
+    """Every pair of 0.8 or more of sf0.01 is connected, and no other."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert {r.doc_id: r.component_id for r in near.near_duplicates(docs).collect()} == groups(rows)
+
+
 def test_stage_finds_copies_many_bits_apart(spark, edited):
     want = groups(edited)
     prints = {i: fingerprint(t, 5) for i, t in edited}
