@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import deletions
+from lodestone.sources.tables import stored
 
 #: Host labels that name no one, and hosts that many share.
 GENERIC_LABELS = ("co", "com", "net", "org", "gov", "edu", "ac")
@@ -154,14 +154,59 @@ def always_missing(rows: DataFrame, group: str, missing: str) -> DataFrame:
     return each.join(total, group).where("n = rows").select(group, "concept")
 
 
+def edit_patterns(word: Column, most: int) -> Column:
+    """(pattern, wild, edits) of a word for up to `most` edits, two at most: the word without some of its letters, the places in what is left where one of these was replaced (as text), and how
+    many were taken away otherwise.
+
+    Two words are within `most` edits if and only if they have a pattern with the same places where the replaced letters and the edits of both are no more than `most`.
+    """
+    text = lambda x: x.cast("string")
+    start = F.struct(word.alias("pattern"), F.lit("").alias("wild"), F.lit(0).alias("edits"), F.lit(0).alias("at"))
+
+    def less(p: Column) -> Column:
+        """One letter less, at or after the place of the last one."""
+        size = F.length(p["pattern"])
+        places = F.filter(F.sequence(p["at"], F.greatest(size, p["at"])), lambda i: i < size)
+        cut = lambda i: F.concat(F.substring(p["pattern"], F.lit(1), i), F.substring(p["pattern"], i + 2, size))
+        gone = F.transform(places, lambda i: F.struct(cut(i).alias("pattern"), p["wild"].alias("wild"), (p["edits"] + 1).alias("edits"), i.alias("at")))
+        other = F.transform(places, lambda i: F.struct(cut(i).alias("pattern"), F.concat(p["wild"], text(i), F.lit(",")).alias("wild"), p["edits"].alias("edits"), i.alias("at")))
+        return F.concat(gone, other)
+
+    levels = [F.array(start)]
+    for _ in range(most):
+        levels.append(F.flatten(F.transform(levels[-1], less)))
+    return F.array_distinct(F.transform(F.concat(*levels), lambda p: F.struct(p["pattern"].alias("pattern"), p["wild"].alias("wild"), p["edits"].alias("edits"))))
+
+
 def nearest_keys(wanted: DataFrame, allowed: DataFrame) -> DataFrame:
-    """(key, near, distance): for each key the allowed key of its namespace within two edits, the nearest and then the smallest."""
-    space = lambda c: F.split_part(F.lower(c), F.lit(":"), F.lit(1))
-    rest = lambda c: F.substring_index(F.lower(c), ":", -1)
-    a = wanted.select("key", space(F.col("key")).alias("space"), F.explode(deletions(rest(F.col("key")))).alias("d"))
-    b = allowed.select(F.col("key").alias("near"), space(F.col("key")).alias("space"), F.explode(deletions(rest(F.col("key")))).alias("d"))
-    pairs = a.join(b, ["space", "d"]).select("key", "near").distinct().withColumn("distance", F.levenshtein(F.lower("key"), F.lower("near"), 2)).where("distance >= 0")
-    return pairs.groupBy("key").agg(F.min(F.struct("distance", "near")).alias("best")).select("key", "best.near", "best.distance")
+    """(key, near, distance): for each key the allowed key of its namespace within two edits, the nearest and then the smallest.
+
+    Keys that have no nearer one go on to the next distance. They meet on patterns of edits, each of which holds the smallest
+    allowed key alone, so that no pairs are made, however many keys are alike.
+    """
+    low = F.lower("key")
+    space = F.split_part(low, F.lit(":"), F.lit(1))
+    parts = (space.alias("space"), F.substring(low, F.length(space) + 1, F.length(low)).alias("rest"))
+    left = wanted.where("key is not null").select("key", *parts).distinct()
+    have = stored(allowed.where("key is not null").select("key", *parts).groupBy("space", "rest").agg(F.min("key").alias("near")), "allowed")
+    found = left.join(have, ["space", "rest"]).select("key", "near", F.lit(0).alias("distance"))
+    left = stored(left.join(have, ["space", "rest"], "left_anti"), "left")
+    for most in (1, 2):
+        if left.isEmpty():
+            break
+        ask = left.select("key", "space", F.explode(edit_patterns(F.col("rest"), most)).alias("p")).select("key", "space", "p.*")
+        asked = stored(ask, "asked")
+        met = ["space", "pattern", "wild"]
+        hold = have.select("space", "near", F.explode(edit_patterns(F.col("rest"), most)).alias("p")).select("space", "near", "p.*")
+        hold = hold.join(stored(asked.select(*met).distinct(), "patterns"), met, "left_semi")
+        hold = hold.groupBy(*met, "edits").agg(F.min("near").alias("near")).withColumnRenamed("edits", "more")  # three rows of a pattern at most
+        replaced = F.size(F.split("wild", ",")) - 1
+        near = asked.join(hold, met).where(replaced + F.col("edits") + F.col("more") <= most)
+        near = stored(near.groupBy("key").agg(F.min("near").alias("near")).select("key", "near", F.lit(most).alias("distance")), "near")
+        found = found.union(near)
+        if most < 2:
+            left = stored(left.join(near, "key", "left_anti"), "left")
+    return found
 
 
 def latest_time(texts: Column) -> Column:

@@ -6,11 +6,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lodestone.streaming.events import folder_for
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the folder that the cluster shares and read again: computed once."""
+    path = folder_for(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
     """`df` with exactly the columns of a schema: missing strings are empty (absent), others null; extras go."""
     have = set(df.columns)
