@@ -93,6 +93,74 @@ def _nearest(vectors: DataFrame, rows: list, key: str, vector: str, k: int, step
     return vectors.select(F.col(key).cast("long"), vector).mapInArrow(run, f"query_id long, {key} long, distance double")
 
 
+def nearest_capped(vectors: DataFrame, queries: DataFrame, key: str, group: str, vector: str, each: int, k: int, block: int = 4096) -> DataFrame:
+    """(query_id, key, group, distance): exact top k by 1 - dot, ties by key, with at most `each` of a group, for a stated list of queries (query_id, vector).
+
+    Each task multiplies blocks of its vectors with a block of queries and keeps for each query what is among its own k best by the same
+    rule: a row that this leaves out has k better ones, and a better one of the same group for any of these that goes later.
+    """
+    found = None
+    for rows in query_blocks(queries, block):
+        more = _nearest_capped(vectors, rows, key, group, vector, each, k)
+        found = more if found is None else found.union(more)
+    if found is None:
+        found = vectors.select(F.lit(0).cast("long").alias("query_id"), F.col(key).cast("long"), group, F.lit(0.0).alias("distance")).limit(0)
+    order = [F.asc("distance"), F.asc(key)]
+    return cap_per_group(cap_per_group(found, ["query_id", group], order, each), ["query_id"], order, k)
+
+
+def capped(distance: np.ndarray, keys: np.ndarray, groups: np.ndarray, each: int, k: int) -> np.ndarray:
+    """Places of the k best by distance and key with at most `each` of a group, best first."""
+    order = np.lexsort((keys, distance))
+    by_group = order[np.argsort(groups[order], kind="stable")]
+    g = groups[by_group]
+    starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, int)
+    rank = np.arange(len(g)) - np.repeat(starts, np.diff(np.r_[starts, len(g)]))
+    keep = np.zeros(len(distance), bool)
+    keep[by_group[rank < each]] = True
+    return order[keep[order]][:k]
+
+
+def _nearest_capped(vectors: DataFrame, rows: list, key: str, group: str, vector: str, each: int, k: int, step: int = 128, first: int = 256) -> DataFrame:
+    ids, matrix = [r.query_id for r in rows], np.array([list(r.vector) for r in rows], np.float64)
+
+    def run(batches):
+        kept = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
+        bound = np.full(len(ids), np.inf)  # the k-th distance so far
+        numbers, kind = {}, pa.null()  # of the groups that the task has met
+        for part in batches:
+            if not len(part):
+                continue
+            names, kind = part.column(0).to_numpy(zero_copy_only=False), part.column(1).type
+            own = np.array([numbers.setdefault(x, len(numbers)) for x in part.column(1).to_pylist()], np.int64)
+            flat = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)
+
+            def take(i: int, near: np.ndarray) -> None:
+                exact = 1 - np.cumsum(flat[near] * matrix[i], 1)[:, -1]  # term by term, whatever the block
+                d, n, g = (np.concatenate(x) for x in zip(kept[i], (exact, names[near], own[near])))
+                best = capped(d, n, g, each, k)
+                kept[i] = d[best], n[best], g[best]
+                if len(best) == k:
+                    bound[i] = d[best[-1]]
+
+            for at in range(0, len(ids), step):
+                rough = 1 - matrix[at : at + step] @ flat.T
+                for i in np.flatnonzero(np.isinf(bound[at : at + step])):  # a bound from the nearest few
+                    some = np.argpartition(rough[i], first - 1)[:first] if len(names) > first else np.arange(len(names))
+                    before = kept[at + i]
+                    take(at + i, some)
+                    kept[at + i] = before
+                query, row = np.nonzero(rough <= bound[at : at + step, None] + 1e-9)
+                ends = np.searchsorted(query, np.arange(len(rough) + 1))
+                for i in np.flatnonzero(np.diff(ends)):
+                    take(at + i, row[ends[i] : ends[i + 1]])
+        groups = list(numbers)
+        for i, (d, n, g) in enumerate(kept if numbers else []):
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(n), pa.int64()), pa.array(n, pa.int64()), pa.array([groups[x] for x in g], kind), pa.array(d, pa.float64())], names=["query_id", key, group, "distance"])
+
+    return vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long"), group, vector).mapInArrow(run, f"query_id long, {key} long, {group} {vectors.schema[group].dataType.simpleString()}, distance double")
+
+
 def encode(v: Column) -> Column:
     """Little-endian 32-bit floats as bytes."""
 

@@ -83,6 +83,26 @@ def test_nearest_in_blocks_of_queries(spark):
     assert vectors.nearest(rows, probe.limit(0), "id", "v", 3).count() == 0
 
 
+def test_capped_nearest_leaves_tasks_few(spark):
+    """The best five with two of a group at most, equal vectors and a null group among them; tasks give away five rows for each query."""
+    rng = random.Random(3)
+    held = [(i, None if i % 7 == 0 else i % 3 if i < 300 else i, [float(rng.randint(-2, 2)) for _ in range(3)]) for i in range(600)]
+    rows = spark.createDataFrame(held, "id long, label int, v array<float>").repartition(3)
+    probe = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("vector"))
+    want = []
+    for q, _, v in held[::50]:
+        taken = {}
+        near = sorted((1 - sum(a * b for a, b in zip(v, w)), i, g) for i, g, w in held)
+        best = [x for x in near if taken.setdefault(x[2], []).append(1) or len(taken[x[2]]) <= 2][:5]
+        want += [(q, i, g, d) for d, i, g in best]
+    got = vectors.nearest_capped(rows, probe, "id", "label", "v", 2, 5, block=5)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert vectors.nearest_capped(rows, probe.limit(0), "id", "label", "v", 2, 5).count() == 0
+    for first in (2, 256):
+        left = vectors._nearest_capped(rows, probe.collect(), "id", "label", "v", 2, 5, first=first)
+        assert left.count() <= 3 * 5 * 12
+
+
 def test_signals_are_the_greedy_choice(spark):
     """Many long phrases inside one another come before the short ones of fewer rows."""
     long = " ".join(f"word{i:03d}" for i in range(40))
