@@ -50,13 +50,21 @@ def protected_top(df: DataFrame, order: list[Column], most: int, protected: str)
     return both.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= most).drop("_rank", "_saved")
 
 
-def stratified_sample(df: DataFrame, stratum: str, key: str, seed: str, sizes: dict[str, int]) -> DataFrame:
-    """Of each stratum as many rows as `sizes` says, by a seeded hash: the same rows each time."""
-    order = Window.partitionBy(stratum).orderBy(F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256), F.col(key))
+def stratified_sample(df: DataFrame, stratum: str, key: str, seed: str, sizes: dict[str, int], deals: int = 64) -> DataFrame:
+    """Of each stratum as many rows as `sizes` says, by a seeded hash: the same rows each time.
+
+    Rows are ranked in `deals` parts of a stratum before they meet in it, so that no task reads more of a large one than the best of each part.
+    """
+    wanted = {name: size for name, size in sizes.items() if size > 0}
+    if not wanted:
+        return df.limit(0)
     most = F.lit(0)
-    for name, size in sizes.items():
+    for name, size in wanted.items():
         most = F.when(F.col(stratum) == name, size).otherwise(most)
-    return df.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank")
+    rows = df.where(F.col(stratum).isin(*wanted)).withColumn("_by", F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256)).withColumn("_deal", F.pmod(F.xxhash64("_by"), F.lit(deals)))
+    order = [F.asc("_by"), F.asc(key)]
+    few = cap_per_group(rows, [stratum, "_deal"], order, max(wanted.values()))  # a number, so that tasks cut before they shuffle, too
+    return few.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy(*order))).where(F.col("_rank") <= most).drop("_rank", "_by", "_deal")
 
 
 def spans(df: DataFrame, group: list[str], at: str, name: str) -> DataFrame:

@@ -213,3 +213,15 @@ def test_latest_in_group_gathers_no_list(spark):
     got = {r.k: (r.x, r.y) for r in df.agg(evidence.latest_in_group(F.col("t")).alias("x"), evidence.latest_time(F.collect_list("t")).alias("y")).collect()}
     assert got == {1: ("2024-01-02T23:00:00Z",) * 2, 2: ("b", "b"), 3: ("", "")}
     assert "collect_list" not in QUERIES["latest_evidence"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_sample_of_few_strata_is_cut_before_they_meet(spark):
+    """Of one large stratum the tasks give away a bounded number of rows, and the sample is that of a plain sort."""
+    import hashlib
+
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 1000 == 0, "b").when(F.col("id") % 1000 == 1, "c").otherwise("a").alias("s"))
+    got = W.stratified_sample(rows, "s", "id", "x", {"a": 30, "b": 50, "d": 5, "c": 0})
+    key = lambda i: (hashlib.sha256(f"x{i}".encode()).hexdigest(), i)
+    want = {(i, "a") for i in sorted((i for i in range(20_000) if i % 1000 > 1), key=key)[:30]} | {(i, "b") for i in range(0, 20_000, 1000)}
+    assert {tuple(r) for r in got.collect()} == want
+    assert "Partial" in got._jdf.queryExecution().executedPlan().toString()  # a limit in each group before the shuffle
