@@ -80,10 +80,21 @@ def scored(docs: DataFrame, key: str, text: str, terms: list[str], keep: tuple[s
     return base.crossJoin(F.broadcast(_statistics(docs, text, terms))).select(key, *keep, "n_tokens", "tf", _bm25(terms).alias("score"))
 
 
+def tokenised(docs: DataFrame, key: str, text: str, terms: list[str] | None = None) -> DataFrame:
+    """(key, n_tokens, words): the words of each text, taken once; with terms, only those words that begin with one of them. All rows stay, for counts and means."""
+    wanted = lambda w: F.filter(w, lambda x: reduce(lambda a, b: a | b, (F.startswith(x, F.lit(t)) for t in terms))) if terms else w
+    both = F.transform(F.array(tokens(F.col(text))), lambda w: F.struct(F.size(w).alias("n_tokens"), wanted(w).alias("words")))
+    return docs.select(key, F.inline(both))
+
+
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(term, key, tf, n_tokens), an index to be written sorted by term; counts combine within documents before the shuffle."""
-    words = docs.select(key, F.size(tokens(F.col(text))).alias("n_tokens"), F.explode(tokens(F.col(text))).alias("term"))
-    return words.groupBy("term", key, "n_tokens").agg(F.count(F.lit(1)).alias("tf"))
+    return posted(tokenised(docs, key, text), key)
+
+
+def posted(held: DataFrame, key: str) -> DataFrame:
+    """The postings of `tokenised` texts."""
+    return held.select(key, "n_tokens", F.explode("words").alias("term")).groupBy("term", key, "n_tokens").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def search_postings(index: DataFrame, key: str, terms: list[str], total: int, mean: float) -> DataFrame:

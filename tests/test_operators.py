@@ -215,6 +215,19 @@ def test_latest_in_group_gathers_no_list(spark):
     assert "collect_list" not in QUERIES["latest_evidence"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
 
 
+def test_words_of_a_text_are_taken_once(spark):
+    """The index and its statistics come from one scan that takes the words of each text once, and equal the whole index."""
+    from lodestone.operators import search
+
+    docs = spark.createDataFrame([(1, "Three blew three. able"), (2, "thread"), (3, None), (4, "")], "id long, t string")
+    held = search.tokenised(docs, "id", "t", ["thre", "ble"])
+    assert sorted((r.id, r.n_tokens, r.words) for r in held.where("id <> 3").collect()) == [(1, 4, ["three", "blew", "three"]), (2, 1, ["thread"]), (4, 0, [])]
+    assert held.count() == 4
+    whole = search.postings(docs, "id", "t")
+    assert sorted(map(tuple, search.posted(held, "id").collect())) == sorted(map(tuple, whole.where("term like 'thre%' or term like 'ble%'").collect()))
+    assert whole._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
 def test_sample_of_few_strata_is_cut_before_they_meet(spark):
     """Of one large stratum the tasks give away a bounded number of rows, and the sample is that of a plain sort."""
     import hashlib
