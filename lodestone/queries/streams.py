@@ -111,7 +111,7 @@ def watermark_projection(spark, folder):
     held = Projection(spark, S.folder_for(spark, "projection"), log.schema, cut, "doc_id")
     for upto in (1, 2):
         held.run(log, upto)
-    sizes = held.chunks().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("piece")).alias("most"))
+    sizes = held.chunks(F.length("piece").alias("size")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("most"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     done = held.projected().join(sizes, "doc_id", "left").select("doc_id", "revision", F.lit("projected").alias("state"), zero("n").alias("chunks"), zero("most").alias("longest"))
     none = F.lit(0).cast("long")

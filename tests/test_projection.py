@@ -102,3 +102,16 @@ def test_nothing(spark, tmp_path):
     assert state(held) == ({}, {})
     held.run(stream, 5)
     assert state(held) == ({}, {})
+
+
+def test_waiting_changes_are_written_once(spark, tmp_path):
+    """What waits for a watermark is not written again by each batch, nor what a raise leaves waiting; a lower watermark takes nothing back."""
+    files = [[(10 * n + i, 2 + i % 3, f"t{n} {i}") for i in range(6)] for n in range(4)]
+    held, stream = opened(spark, f"file://{tmp_path}/p"), log(spark, f"file://{tmp_path}/log", files)
+    held.run(stream, 1)
+    held.run(stream, 2)
+    assert spark.read.schema(SCHEMA).parquet(f"file://{tmp_path}/p/later").count() == 24
+    assert state(held) == plainly(files, 2)
+    held.run(stream, 1)
+    held.run(stream, 3)
+    assert state(held) == plainly(files, 3)
