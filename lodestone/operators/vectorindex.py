@@ -70,6 +70,17 @@ def enough_probes(sample: np.ndarray, centres: np.ndarray, k: int, recall: float
     return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
 
 
+def drawn(rows: DataFrame, total: int, sample: int) -> DataFrame:
+    """(vector): the `sample` rows with the least hashes of `total`. Each task would send its own `sample` best to the driver; so rows whose hash is beyond the
+    place where twice as many are looked for go first, unless too few are left."""
+    of, least = F.xxhash64("key"), rows
+    if total > 2 * sample:
+        least = rows.where(of <= -(2**63) + 2**65 * sample // total)
+        if least.limit(sample).count() < sample:
+            least = rows
+    return least.orderBy(of, "key").limit(sample).select("vector")
+
+
 def build(vectors: DataFrame, key: str, vector: str, path: str, cells: int | None = None, k: int = 10, recall: float = 0.97, sample: int = 8192) -> Index:
     """Write an index of all valid rows to `path` and return it.
 
@@ -82,7 +93,7 @@ def build(vectors: DataFrame, key: str, vector: str, path: str, cells: int | Non
     dims = dims[0].n if dims else 1
     rows = _valid(vectors, key, vector, dims)
     total = rows.count()
-    held = rows.orderBy(F.xxhash64("key"), "key").limit(sample).select("vector").toPandas()["vector"]
+    held = drawn(rows, total, sample).toPandas()["vector"]
     matrix = np.array(held.tolist(), np.float64).reshape(len(held), dims)
     length = np.linalg.norm(matrix, axis=1, keepdims=True)
     matrix = matrix / np.where(length > 0, length, 1)
@@ -146,7 +157,8 @@ def _search(index: Index, asked: DataFrame, k: int) -> DataFrame:
     blocks = _read(spark, index.path).where(F.col("cell").isin(cells) if cells else F.lit(False))  # reads these partitions alone
     dealt = asked.hint("rebalance", "cell").sortWithinPartitions("cell", "query_id")
     queries = dealt.mapInArrow(_packer("query_id", QUERY_BLOCK, ["query_id"]), "cell int, query_id array<long>, vectors binary")
-    pairs = blocks.join(queries.withColumnRenamed("vectors", "asked"), "cell").select("key", "version", "vectors", "query_id", "asked")
+    # queries go to many cells: together they are too large to pass through the driver as a broadcast
+    pairs = blocks.join(queries.withColumnRenamed("vectors", "asked").hint("merge"), "cell").select("key", "version", "vectors", "query_id", "asked")
 
     def run(batches):
         for b in batches:

@@ -91,3 +91,17 @@ def test_odd_tables(spark, tmp_path):
     none = spark.createDataFrame([], SCHEMA)
     empty = vectorindex.build(none, "id", "v", f"file://{tmp_path}/b")
     assert vectorindex.search(empty, none, "id", "v", queries, 5).count() == 0
+
+
+def test_little_passes_through_the_driver(spark, data, tmp_path):
+    """Queries are not broadcast to their cells, and the sample is the same rows, picked from twice as many."""
+    matrix, df = data
+    index = vectorindex.build(df, "id", "v", f"file://{tmp_path}/i", cells=20)
+    cells = vectorindex._cells(index, asked(df), lambda c, b: c > -2)
+    found = vectorindex._search(index, cells, 3)
+    assert found.count() and "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = vectorindex._valid(df, "id", "v", 16)
+    got = vectorindex.drawn(rows, 1500, 100)
+    assert "<= " in got._jdf.queryExecution().analyzed().toString()
+    plain = rows.orderBy(F.xxhash64("key"), "key").limit(100).select("vector").collect()
+    assert got.collect() == plain and vectorindex.drawn(rows.where("key < 150"), 10**6, 100).count() == 100
