@@ -31,6 +31,8 @@ SPACES = " \t\n\x0b\x0c\r"
 KNOWN = 1_000_000
 #: Occurrences of a line that one task takes from the join with its decision.
 HOT = 10_000
+#: Lines of a key up to which they are paired, each with as many others at most; a key that more share goes a level deeper, which loses no pair and keeps the pairs in proportion to the lines.
+CROWDED = 8
 #: Characters of a window up to which the lines of a key are paired and their windows compared; longer ones pair if they are FEW.
 WINDOW, FEW = 256, 4
 
@@ -199,7 +201,7 @@ def banded_distance(a: Column, b: Column, most: int) -> Column:
     return let(F.struct(F.encode(a, "UTF-32").alias("a"), F.encode(b, "UTF-32").alias("b")), run)
 
 
-def alike(docs: DataFrame, least: int = 20, crowded: int = 128) -> DataFrame:
+def alike(docs: DataFrame, least: int = 20, crowded: int = CROWDED) -> DataFrame:
     """(h, g, earlier): lines that have an earlier line within one edit, not equal, and where the earliest of those stands. `crowded` changes the way, never the result."""
     lines = lines_of(docs)
     pairs = near_pairs(lines, least, crowded)
@@ -215,7 +217,7 @@ def alike(docs: DataFrame, least: int = 20, crowded: int = 128) -> DataFrame:
     return late.groupBy("h", "g").agg(F.min("earlier").alias("earlier"))
 
 
-def line_decisions(docs: DataFrame, least: int = 20, crowded: int = 128) -> DataFrame:
+def line_decisions(docs: DataFrame, least: int = 20, crowded: int = CROWDED) -> DataFrame:
     """(doc_id, no, removed, near, head): for each line that has a word, whether it goes, whether for an alike line alone, and the line (doc_id, no) that stands for it.
 
     Lines with more than HOT occurrences are dealt to several tasks, and their decision goes to each.
@@ -233,14 +235,14 @@ def line_decisions(docs: DataFrame, least: int = 20, crowded: int = 128) -> Data
     return found.select("doc_id", "no", (equal | late).alias("removed"), (~equal & late).alias("near"), "head")
 
 
-def by_document(docs: DataFrame, least: int = 20, crowded: int = 128) -> DataFrame:
+def by_document(docs: DataFrame, least: int = 20, crowded: int = CROWDED) -> DataFrame:
     """(doc_id, n_lines, n_removed, n_near, removed): removed holds (no, head) of the lines that go, ascending. Documents without lines are missing."""
     found = line_decisions(docs, least, crowded)
     one = lambda c: F.sum(F.col(c).cast("long"))
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), one("removed").alias("n_removed"), one("near").alias("n_near"), F.array_sort(F.collect_set(F.when(F.col("removed"), F.struct("no", "head")))).alias("removed"))
 
 
-def remove_lines(docs: DataFrame, least: int = 20, crowded: int = 128) -> DataFrame:
+def remove_lines(docs: DataFrame, least: int = 20, crowded: int = CROWDED) -> DataFrame:
     """`docs` with the lines gone from its text; other columns, whatever their names, and rows stay, and so do texts of which nothing goes."""
     gone = by_document(docs, least, crowded).where("n_removed > 0").select(F.col("doc_id").alias("_doc"), F.transform("removed", lambda r: r["no"]).alias("_gone"))
     held = narrow(docs).join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left")

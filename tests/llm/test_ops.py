@@ -236,6 +236,17 @@ def test_lines_that_share_almost_all(spark, crowded):
     assert {(r.doc_id, r.no): r.removed for r in found} == line_decisions(rows)
 
 
+def test_pairs_grow_with_the_lines_not_their_square(spark, monkeypatch):
+    """120 lines that share almost all meet a few others each, and none that is alike is lost."""
+    made, real = [], lines._pairs
+    monkeypatch.setattr(lines, "_pairs", lambda stored, held: made.append(stored.agg(F.sum(F.size(held))).first()[0] or 0) or real(stored, held))
+    base = "every one of these lines differs from the others in a single letter, which may stand at any of its places, from the first to the very last"
+    held = [(i, base[:i] + "#" + base[i + 1 :]) for i in range(120)] + [(500, base)]
+    found = lines.line_decisions(spark.createDataFrame(held, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.no): r.removed for r in found} == line_decisions(held)
+    assert 0 < sum(made) <= 16 * len(held)
+
+
 def test_equal_hashes_remove_no_line(spark, monkeypatch):
     """Keys that collide make candidates, never decisions."""
     monkeypatch.setattr(lines, "halves", lambda context, window, probe, real=lines.halves: F.transform(real(context, window, probe), lambda k: F.struct(F.pmod(k["key"], F.lit(4)).alias("key"), k["window"].alias("window"))))
